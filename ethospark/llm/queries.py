@@ -6,25 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import media, mixing, sharding, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(_read(spark, sf_dir, "pages")))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.encode(_read(spark, sf_dir, "documents")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filters, op4_toxicity, op8_mixing, op9_media, op10_sharding)}
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(encode(html)) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT d.*, CASE WHEN m.last IS NULL OR d.page_id = m.last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id IS DISTINCT FROM m.last THEN m.last END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
+"""
+
 OP8_SQL = r"""
 WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 d AS (SELECT d.doc_id, d.source, d.source IS NULL AS n, coalesce(d.source, '') AS s, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -46,4 +71,4 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op8_mixing": OP8_SQL}
