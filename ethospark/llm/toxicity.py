@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents carry the labels.
 
-A sentence's logit is a bias plus the sum of its words' weights; a word's weight is the sum of hashed weights of the word, its prefixes and
-its character n-grams, so unseen forms of a seen stem still count. A document's score is the noisy-or of its sentences,
+A sentence's logit is a bias plus the sum of its words' weights; a word's weight is the sum of hashed weights of the word and
+its prefixes of four to six characters, so unseen forms of a seen stem still count. A document's score is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are fitted to document labels by the noisy-or likelihood; the sentence scores then locate what made a document toxic.
 
 Training reads a bounded sample: the SAMPLE documents of either label that come first by a hash of their id. Everything else covers all rows:
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from math import exp, expm1, log1p
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 BITS = 18
 SAMPLE = 4000
-STEPS = 150
-RATE = 0.08
-DECAY = 2e-6
+STEPS = 300
+RATE = 0.2
+DECAY = 1e-6
+#: A hashed feature is used if so many documents of the sample have it.
+MIN_DOCS = 20
 THRESHOLD = 0.7
 SPAN_FROM = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -37,8 +40,8 @@ CACHE_WORDS = 400_000
 def slots(word: str) -> list[int]:
     """Hashed features of a word."""
     marked = f"<{word}>"
-    grams = {marked, *(marked[:k] for k in (5, 6, 7) if k < len(marked)), *(marked[i : i + 5] for i in range(len(marked) - 4))}
-    return [zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in sorted(grams)]
+    grams = [marked, *(marked[:k] for k in (5, 6, 7) if k < len(marked))]
+    return [zlib.crc32(g.encode()) & ((1 << BITS) - 1) for g in grams]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -62,8 +65,19 @@ def fit(texts: list[str | None], toxic: list[int], prior: float) -> tuple[np.nda
     each = [slots(w) for w in vocab]
     word_of = np.repeat(np.arange(len(vocab)), [len(x) for x in each])
     used, slot = np.unique(np.array([s for x in each for s in x], np.int64), return_inverse=True)
+    slot_list = np.split(slot, np.cumsum([len(x) for x in each])[:-1])
+    docs_of = np.zeros(len(used), np.int64)
     word_at, sent_at, doc_at = (np.array(x, np.int64) for x in (word_at, sent_at, doc_at))
     y, n = np.array(toxic, float), len(texts)
+    pair = np.unique(doc_at[sent_at] * len(vocab) + word_at)
+    for d, words in zip(np.unique(pair // len(vocab)), np.split(pair % len(vocab), np.flatnonzero(np.diff(pair // len(vocab))) + 1), strict=False):
+        starts = np.concatenate([slot_list[w] for w in words])
+        docs_of[np.unique(starts)] += 1
+    kept = docs_of >= MIN_DOCS
+    word_of, slot = word_of[kept[slot]], slot[kept[slot]]
+    told = np.zeros(len(vocab), bool)
+    told[word_of] = True
+    word_at, sent_at = word_at[told[word_at]], sent_at[told[word_at]]
     weight = np.where(y > 0, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)) / n
     w, bias = np.zeros(len(used)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -89,14 +103,14 @@ class Scorer:
     """Scores texts; keeps the weights of words seen, up to CACHE_WORDS."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+        self.weights, self.bias, self.known = weights.tolist(), bias, {}
 
     def word(self, w: str) -> float:
         x = self.known.get(w)
         if x is None:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
-            x = self.known[w] = float(self.weights[slots(w)].sum())
+            x = self.known[w] = sum(map(self.weights.__getitem__, slots(w)))
         return x
 
     def parts(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -107,12 +121,12 @@ class Scorer:
         out = []
         for a, b in sentences(lower):
             z = self.bias + sum(map(self.word, set(WORD.findall(lower, a, b))))
-            out.append((a, b, 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))))
+            out.append((a, b, 1 / (1 + exp(-min(max(z, -30.0), 30.0)))))
         return out
 
 
 def noisy_or(scores: list[float]) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(np.array(scores), 1 - 1e-12)).sum()))
+    return -expm1(sum(log1p(-min(p, 1 - 1e-12)) for p in scores))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str | None], list[int], float]:
