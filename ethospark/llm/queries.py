@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, neardup, sharding, toxicity, urls, warc
+from . import decontaminate, media, mixing, neardup, sharding, substrings, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filters, op4_toxicity, op5_decontamination, op6_near_duplicates, op8_mixing, op9_media, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filters, op4_toxicity, op5_decontamination, op6_near_duplicates, op7_substrings, op8_mixing, op9_media, op10_sharding)}
 
 
 OP1_SQL = """
