@@ -48,9 +48,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = sizes.withColumns({"w": w}).withColumn("cap", MAX_EPOCHS * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
     order = Window.orderBy("ratio", "__null", "__src")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    # The level at which a source is not above its cap, were all sources of smaller ratio at theirs; the first that holds is the water level.
+    # The level at which a source is not above its cap, were all sources of smaller ratio at theirs; the largest that holds is the water level.
     s = s.withColumn("level", (SHARE * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(Window.partitionBy()))
+    s = s.withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(Window.partitionBy()))
     return s.select("__null", "__src", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("water"))).alias("target"))
 
 

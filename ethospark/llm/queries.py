@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, mixing, neardup, sharding, substrings, toxicity, urls, warc
+from . import decontaminate, licenses, media, mixing, neardup, sharding, substrings, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filters, op4_toxicity, op5_decontamination, op6_near_duplicates, op7_substrings, op8_mixing, op9_media, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filters, op3_licenses, op4_toxicity, op5_decontamination, op6_near_duplicates, op7_substrings, op8_mixing, op9_media, op10_sharding)}
 
 
 OP1_SQL = """
@@ -73,7 +77,7 @@ w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (
 r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, n, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY ratio, n, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-v AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
+v AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS water FROM l),
 t AS (SELECT n, s, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, w * water) END AS target FROM v),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 p AS (SELECT d.*, e.source_size, e.target, e.epochs, floor(e.target - e.epochs * e.source_size)::BIGINT AS rest,
