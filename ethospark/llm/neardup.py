@@ -6,7 +6,7 @@ with their probability Jaccard J_P. Processes run to a time by which the registe
 empty register go on to a later time, so results are those of running for ever.
 
 BANDS bands of ROWS registers make buckets. Pairs of a bucket are verified exactly (J_P or plain Jaccard of the shingle sets at least
-THRESHOLD), but not all of them: STAR_ROUNDS rounds test each text against one bucket leader, drawn anew each round, and join what agrees into
+THRESHOLD), but not all of them: STAR_ROUNDS rounds test each text against one bucket leader (in turn the one with most company and one drawn anew) and join what agrees into
 components; then every pair of a bucket that still lies in two components is tested. Pairs within a component can change nothing, so the
 components are those of testing all pairs. Equal texts meet by digest first and are one node.
 
@@ -180,8 +180,11 @@ def classes(docs: DataFrame) -> DataFrame:
     same = same.join(many, "a")
     links = materialize(same.distinct(), "links")
     each = nodes.select("id", F.explode("keys").alias("key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(each.join(shared, "key"), "members")
+    # How much company a text has over all its buckets: what many were copied from has the most, and leads first.
+    company = materialize(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    members = materialize(members.drop("n").join(broadcast_if_small(company), "id"), "members")
     wanted = materialize(members.select("id").distinct(), "wanted")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").join(broadcast_if_small(wanted), "id")
     texts = materialize(texts.groupBy("id").agg(F.min("text").alias("text")) if _repeats(rows) else texts, "texts")
@@ -189,11 +192,11 @@ def classes(docs: DataFrame) -> DataFrame:
     for n in range(STAR_ROUNDS + 1):
         open_ = members.withColumn("comp", F.col("id"))
         if comp is not None:
-            open_ = members.join(comp, members["id"] == comp["node"], "left").select("id", "key", F.coalesce("comp", "id").alias("comp"))
+            open_ = members.join(comp, members["id"] == comp["node"], "left").select("id", "key", "company", F.coalesce("comp", "id").alias("comp"))
             split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             open_ = materialize(open_.join(split, "key"), "open")
         if n < STAR_ROUNDS:
-            lead = open_.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(n))).alias("lead"))
+            lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.struct(F.lit(0) if n % 2 else F.col("company"), F.xxhash64("id", F.lit(n)))).alias("lead"))
             met = open_.join(lead, "key").where(F.col("comp") != F.col("lead.comp")).groupBy("id", F.col("lead.id").alias("to")).agg(F.count(F.lit(1)).alias("n"))
             pairs = met.groupBy("id").agg(F.max_by("to", F.struct("n", "to")).alias("to")).select(F.col("id").alias("a"), F.col("to").alias("b"))
         else:

@@ -19,14 +19,13 @@ repeated rows give a row each; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import free_shuffles, materialize
 
 MIN_BYTES = 50
 K = 20
@@ -337,12 +336,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["did", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     in_blocks = rows.groupBy("gid")
-    sent = in_blocks.applyInPandas(anchors, "p int, gid int, keys binary, many binary")
-    answers = sent.groupBy("p").applyInPandas(answer, "gid int, p int, bits binary")
     kinds = "p int, gid int, kind int, a binary, b binary, c binary"
-    pieces = materialize(in_blocks.cogroup(answers.groupBy("gid")).applyInPandas(cut, kinds), "pieces")
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of the steps that are over
+    pieces = materialize(in_blocks.cogroup(in_blocks.applyInPandas(anchors, "p int, gid int, keys binary, many binary").groupBy("p").applyInPandas(answer, "gid int, p int, bits binary").groupBy("gid")).applyInPandas(cut, kinds), "pieces")
+    free_shuffles(docs.sparkSession)
     told = pieces.where("kind = 0").groupBy("p").applyInPandas(judge, kinds).unionByName(pieces.where("kind = 1"))
     out = in_blocks.cogroup(told.groupBy("gid")).applyInPandas(strip, "did long, none boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(~F.col("none"), F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
