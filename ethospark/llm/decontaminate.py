@@ -109,7 +109,7 @@ def _hits(docs: DataFrame, index: dict[tuple[str, ...], int]) -> DataFrame:
                 th += [h] * len(found)
                 gram += found
                 at += found.values()
-            yield pd.DataFrame({"th": np.array(th, np.int64), "gram": np.array(gram, np.int32), "at": at})
+            yield pd.DataFrame({"th": np.array(th, np.int64), "gram": np.array(gram, np.int32), "at": pd.Series(at, dtype=object)})
 
     return docs.select(F.xxhash64("text").alias("th"), "text").where("text is not null").mapInPandas(run, "th long, gram int, at array<int>").groupBy("th", "gram").agg(F.count(F.lit(1)).alias("n"), F.first("at").alias("at"))
 

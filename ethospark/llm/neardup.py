@@ -107,11 +107,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         n = 0
         while len(s):
             n += 1
-            x = mix(s + _GOLD * _U(2 * n))
+            x = mix(s + _U(2 * n * int(_GOLD) % 2**64))
             t = t - np.log(((x >> _U(11)).astype(np.float64) + 0.5) / 2.0**53) / w
             on = t <= until[doc]
             s, w, doc, t = s[on], w[on], doc[on], t[on]
-            slot = doc * REGISTERS + (mix(s + _GOLD * _U(2 * n + 1)) % _U(REGISTERS)).astype(np.int64)
+            slot = doc * REGISTERS + (mix(s + _U((2 * n + 1) * int(_GOLD) % 2**64)) % _U(REGISTERS)).astype(np.int64)
             np.minimum.at(first, slot, t)
             new = first[slot] == t
             who[slot[new]] = s[new]
