@@ -55,11 +55,12 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 
 @register("window_stats", WINDOWS + """ SELECT user_id, win AS "window", min(frame) AS start_frame, max(frame) AS end_frame, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std,
-round(median(value), 6) AS value_median, round(max(value), 6) AS value_max, round(quantile_cont(value, 0.1), 6) AS value_p10, round(quantile_cont(value, 0.9), 6) AS value_p90, round(avg(value * value), 6) AS value_energy,
+round(median(value), 6) AS value_median, round(max(value), 6) AS value_max, round(quantile_cont(value, 0.1), 6) AS value_p10, round(quantile_cont(value, 0.9), 6) AS value_p90, round(avg(value * value), 8) AS value_energy,
 round(regr_slope(value, pos), 6) AS value_trend, round(avg(value) FILTER (pos >= 12) - avg(value) FILTER (pos < 4), 6) AS value_delta FROM x GROUP BY user_id, win""")
 def window_stats(spark, d):
     w = W.window_stats(windows(spark, d), S, "value", 16)
-    return r6(w, *(c for c in w.columns if c.startswith("value_")))
+    w = r6(w, *(c for c in w.columns if c.startswith("value_") and c != "value_energy"))
+    return w.withColumn("value_energy", F.round("value_energy", 8))
 
 
 @register("zscore_by_session", CTE + " SELECT event_id, round((value - avg(value) OVER u) / coalesce(nullif(stddev_samp(value) OVER u, 0), 1), 6) AS value_z FROM f WINDOW u AS (PARTITION BY user_id)")
