@@ -161,7 +161,7 @@ def _aligned(text: str, found, block) -> list[tuple]:
         reach = len(item) + len(item) // 2 + SEED
         best, a, b = (0.0, 0, 0), -1, -1
         for p in [*sorted(places), None]:
-            if p is not None and p - reach <= b:
+            if p is not None and 0 <= b and p - reach <= b:
                 b = p + reach
                 continue
             if b >= 0:
