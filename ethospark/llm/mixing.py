@@ -28,18 +28,21 @@ BUCKETS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def annotate(docs: DataFrame, labels: DataFrame | None, seed: str = SEED) -> DataFrame:
-    """docs with __size, __null, __src, __key and __bucket; bucket order follows key order."""
+def annotate(docs: DataFrame, labels: DataFrame | None, seed: str = SEED, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs, less the columns `without`, with __size, __null, __src, __key and __bucket; bucket order follows key order.
+
+    Columns in `without` are dropped before labels are joined, so texts need not move for it. The join is by sorting at every size.
+    """
+    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    u = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+    out = docs.withColumns({"__size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"), "__null": F.col("source").isNull(), "__src": F.coalesce(F.col("source"), F.lit("")), "__u": u}).drop(*without)
+    weight = F.lit(MIDDLE)
     if labels is not None:
         quality = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q")).where("__id is not null")
-        docs = docs.join(quality, docs["doc_id"] == F.col("__id"), "left")
+        out = out.join(quality.hint("merge"), out["doc_id"] == F.col("__id"), "left")
         weight = F.when(F.col("__q") >= 1, GOOD).when(F.col("__q").isNotNull(), POOR).otherwise(MIDDLE)
-    else:
-        weight = F.lit(MIDDLE)
-    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    u = (F.conv(F.substring(h, 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
-    out = docs.withColumns({"__size": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"), "__null": F.col("source").isNull(), "__src": F.coalesce(F.col("source"), F.lit("")), "__key": -F.log(u) / weight})
-    return out.withColumn("__bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("__key") * POOR)))).drop("__id", "__q")
+    out = out.withColumn("__key", -F.log("__u") / weight)
+    return out.withColumn("__bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("__key") * POOR)))).drop("__id", "__q", "__u")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def apply_plan(rows: DataFrame, by_source: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken and source for each row of docs."""
-    rows = materialize(annotate(docs.select("doc_id", "text", "source"), labels, seed).drop("text"), "mix-rows")
+    rows = materialize(annotate(docs.select("doc_id", "text", "source"), labels, seed, without=("text",)), "mix-rows")
     return apply_plan(rows, plan(rows)).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("__size") + F.col("__last")).alias("taken"), "source")
 
 
