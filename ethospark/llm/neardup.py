@@ -10,6 +10,9 @@ THRESHOLD), but not all of them: STAR_ROUNDS rounds test each text against one b
 components; then every pair of a bucket that still lies in two components is tested. Pairs within a component can change nothing, so the
 components are those of testing all pairs. Equal texts meet by digest first and are one node.
 
+That last test names pairs only in buckets of up to PAIRS_UP_TO texts. The texts of a larger bucket are dealt into blocks of about BLOCK texts
+and BLOCK_CHARS characters, and a task compares two blocks by matrix products, giving a spanning forest of what is similar and no other pair.
+
 Defined cases: null text and null doc_id are in no class but their own (class_id = doc_id); texts without words match equal texts only; texts
 of fewer than SHINGLE words are one shingle; rows with equal doc_id share a node; repeated rows give a row each; an empty table gives no rows;
 other columns are ignored.
@@ -33,6 +36,10 @@ REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 STAR_ROUNDS = 3
 BATCH_SHINGLES = 400_000
+#: Buckets of up to this many open texts are tested pair by pair, larger ones by blocks.
+PAIRS_UP_TO = 16
+#: Texts and characters of a block, by expectation, and columns of one matrix product.
+BLOCK, BLOCK_CHARS, COLUMNS = 512, 8_000_000, 4096
 WORD = re.compile(r"\w+")
 _U = np.uint64
 #: Odd 64-bit constants of the splitmix64 finalizer and of golden-ratio multiples.
@@ -92,6 +99,57 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(common / (len(a[0]) + len(b[0]) - common), probability_jaccard(a, b))
 
 
+def similar(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(n, n) bool: similarity() of at least THRESHOLD. Jaccard is exact from products of incidence columns.
+
+    J_P is at most (A - s) / (T - s): A the weights of both texts on common shingles, T all their weights, s the number of common shingles
+    (no weight is below 1). That is Jaccard itself where nothing repeats. Only pairs that this bound leaves open are summed one by one.
+    """
+    n, size = len(sets), np.array([len(s) for s, _ in sets], np.float64)
+    doc = np.repeat(np.arange(n), size.astype(np.int64))
+    ids, col, seen = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in sets])
+    total = np.bincount(doc, weight, n)
+    two = seen[col] > 1  # what one text alone holds is common to no pair
+    doc, col, weight = doc[two], np.unique(col[two], return_inverse=True)[1], weight[two]
+    order = np.argsort(col, kind="stable")
+    doc, col, weight = doc[order], col[order], weight[order]
+    common, held = np.zeros((n, n)), np.zeros((n, n))
+    repeated = bool((weight != 1).any())
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        part = slice(*np.searchsorted(col, [at, at + COLUMNS]))
+        there = np.zeros((n, COLUMNS), np.float32)
+        there[doc[part], col[part] - at] = 1
+        common += there @ there.T
+        if repeated:
+            heavy = np.zeros((n, COLUMNS), np.float32)
+            heavy[doc[part], col[part] - at] = weight[part]
+            held += heavy @ there.T
+    common = np.rint(common)
+    if not repeated:
+        held = common
+    out = common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-9
+    bound = (held + held.T - common) / np.maximum(total[:, None] + total[None, :] - common, 1e-9)
+    for i, j in zip(*np.nonzero(np.triu(~out & (bound >= THRESHOLD - 1e-5), 1)), strict=True):
+        out[i, j] = out[j, i] = similarity(sets[i], sets[j]) >= THRESHOLD
+    return out & (common > 0)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric bool matrix."""
+    free, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if free[root]:
+            free[root], todo = False, [root]
+            while todo:
+                i = todo.pop()
+                new = np.nonzero(linked[i] & free)[0]
+                free[new] = False
+                todo += new.tolist()
+                out += [(i, j) for j in new.tolist()]
+    return out
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """(len(sets), REGISTERS) shingle hashes; sets must not be empty."""
     out = np.zeros((len(sets), REGISTERS), _U)
@@ -170,6 +228,35 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def _verified_blocks(open_: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that span what is similar across components in the buckets `large` (key, n, chars) of open_(id, key, comp)."""
+
+    def links(group: list[tuple[int, int, str]], known: _Words) -> list[tuple[int, int]]:
+        ids, comp = [x[0] for x in group], np.array([x[1] for x in group])
+        linked = similar([shingles(x[2], known) for x in group]) & (comp[:, None] != comp[None, :])
+        return [(ids[i], ids[j]) for i, j in forest(linked)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, at, group = _Words(), None, []
+        for b in batches:
+            out = []
+            for key, lo, hi, *row in zip(b.key, b.lo, b.hi, b.id, b.comp, b.text, strict=True):
+                if (key, lo, hi) != at:
+                    out += links(group, known) if len(group) > 1 else []
+                    at, group = (key, lo, hi), []
+                group.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if len(group) > 1:
+            yield pd.DataFrame(links(group, known), columns=["a", "b"], dtype="int64")
+
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars_all") / BLOCK_CHARS)).cast("int")
+    dealt = open_.join(large.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("id", "key", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    full = dealt.join(texts.select("id", "text"), "id")
+    near = full.repartition(int(full.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return near.mapInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of each row of docs."""
     rows = materialize(_bands(docs), "bands")
@@ -200,8 +287,12 @@ def classes(docs: DataFrame) -> DataFrame:
             met = open_.join(lead, "key").where(F.col("comp") != F.col("lead.comp")).groupBy("id", F.col("lead.id").alias("to")).agg(F.count(F.lit(1)).alias("n"))
             pairs = met.groupBy("id").agg(F.max_by("to", F.struct("n", "to")).alias("to")).select(F.col("id").alias("a"), F.col("to").alias("b"))
         else:
-            left, right = open_.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+            sizes = open_.join(texts.select("id", F.length("text").alias("chars")), "id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars_all"))
+            sizes = materialize(sizes, "sizes")
+            few = open_.join(sizes.where(F.col("n") <= PAIRS_UP_TO).select("key"), "key")
+            left, right = few.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), few.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
             pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+            links = links.unionByName(materialize(_verified_blocks(open_, sizes.where(F.col("n") > PAIRS_UP_TO), texts), "links"))
         found = materialize(_verified(materialize(pairs, "pairs"), texts), "links")
         links = links.unionByName(found)
         comp = components(links)

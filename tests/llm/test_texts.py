@@ -251,3 +251,53 @@ def test_sharding(spark):
     assert all(abs(sum(r.source == "s0" for r in s) - whole * len(s)) <= 2 for s in shards.values())
     assert sharding.interleave(df.limit(0)).collect() == []
     assert sorted(map(str, got)) == sorted(map(str, sharding.interleave(df.repartition(7)).collect()))
+
+
+def test_similar_by_matrix_equals_pairwise():
+    rng, known = random.Random(11), neardup._Words()
+    base = prose(120, rng).split()
+    texts = []
+    for k in range(60):
+        words = [rng.choice(VOCAB) if rng.random() < 0.02 else w for w in base]
+        if k % 3 == 0:
+            words += base[:20] * rng.randint(1, 4)
+        texts.append(" ".join(words))
+    sets = [neardup.shingles(t, known) for t in [*texts, "", "one two", "one two"]]
+    got = neardup.similar(sets)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert got[i, j] == got[j, i] == (neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD)
+    assert 0 < got[:60, :60].sum() < 60 * 60
+    tree = neardup.forest(got & ~np.eye(len(got), dtype=bool))
+    assert len(tree) < len(got)
+
+
+def test_large_buckets_go_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_UP_TO", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    rng, known = random.Random(12), neardup._Words()
+    base = prose(100, rng).split()
+    docs = [(i, " ".join(rng.choice(VOCAB) if rng.random() < 0.022 else w for w in base)) for i in range(90)]
+    sets = [neardup.shingles(t, known) for _, t in docs]
+    # One bucket of all, each text a component of its own: the blocks must link what brute force links.
+    rows = spark.createDataFrame([(i, 7, i) for i, _ in docs], "id long, key long, comp long")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.lit(1000).alias("chars_all"))
+    links = neardup._verified_blocks(rows, sizes, spark.createDataFrame(docs, "id long, text string"))
+    want = {(a, b) for a in range(90) for b in range(a) if neardup.similarity(sets[a], sets[b]) >= neardup.THRESHOLD}
+    got = {(max(r), min(r)) for r in links.collect()}
+    assert got and got <= want
+
+    def parts(edges):
+        up = list(range(90))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[root(a)] = root(b)
+        return [root(x) for x in range(90)]
+
+    a, b = parts(want), parts(got)
+    assert len(set(a)) == len(set(b)) == len(set(zip(a, b)))
