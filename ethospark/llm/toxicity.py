@@ -4,8 +4,9 @@ A sentence's logit is a bias plus the sum of its words' weights; a word's weight
 its prefixes of four to six characters, so unseen forms of a seen stem still count. A document's score is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are fitted to document labels by the noisy-or likelihood; the sentence scores then locate what made a document toxic.
 
-Training reads a bounded sample: the SAMPLE documents of either label that come first by a hash of their id. Everything else covers all rows:
-each whole text is scored, a sentence at a time, on the executors with the weights as a constant of fixed size (2 ** BITS floats).
+Training reads a bounded sample: the SAMPLE documents of either label that come first by a hash of their id. One task of an executor fits
+them, and a lost executor's task is run again; the driver gets the weights alone. Everything else covers all rows: each whole text is scored,
+a sentence at a time, on the executors with the weights as a constant of fixed size (2 ** BITS floats).
 
 Defined cases: null and empty texts have one empty sentence; null doc_id is scored (held_out null); labels that are null or of null doc_id
 teach nothing and of repeated labels the largest counts; without labels of both kinds every score is 0; an empty table gives no rows; other
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import exp, expm1, log1p
 
@@ -52,14 +54,14 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 def fit(texts: list[str | None], toxic: list[int], prior: float) -> tuple[np.ndarray, float]:
     """(weights, bias). prior: the share of toxic documents the model is for; the sample's own share may differ."""
     vocab: dict[str, int] = {}
-    word_at, sent_at, doc_at = [], [], []
+    word_at, sent_at, doc_at = array("i"), array("i"), array("i")
     n_sent = 0
     for d, text in enumerate(texts):
         lower = (text or "").lower()
         for a, b in sentences(lower):
             found = {vocab.setdefault(w, len(vocab)) for w in WORD.findall(lower, a, b)}
             word_at.extend(found)
-            sent_at.extend([n_sent] * len(found))
+            sent_at.extend(array("i", [n_sent]) * len(found))
             doc_at.append(d)
             n_sent += 1
     each = [slots(w) for w in vocab]
@@ -129,27 +131,37 @@ def noisy_or(scores: list[float]) -> float:
     return -expm1(sum(log1p(-min(p, 1 - 1e-12)) for p in scores))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str | None], list[int], float]:
-    """Texts and labels of the sample, and the share of toxic documents among all that may teach."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame | None, float]:
+    """The sample's (doc_id, text, y), or None where labels of one kind lack, and the share of toxic documents among all that may teach."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     may = labels.where("doc_id is not null and toxic is not null").where(fold != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in may.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     if set(counts) != {0, 1}:
-        return [], [], 0.0
+        return None, 0.0
     chosen = None
     for kind in (0, 1):
         some = may.where((F.col("toxic") > 0) == bool(kind)).select("doc_id", F.lit(kind).alias("y")).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * sample ids are broadcast; repeated rows of a document teach once.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()
-    return [r["text"] for r in rows], [r["y"] for r in rows], counts[1] / sum(counts.values())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return rows, counts[1] / sum(counts.values())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    texts, y, prior = training_rows(docs, labels)
-    if len(set(y)) < 2:
-        return np.zeros(1 << BITS, np.float32), -30.0
-    return fit(texts, y, prior)
+    rows, prior = training_rows(docs, labels)
+    nothing = np.zeros(1 << BITS, np.float32), -30.0
+    if rows is None:
+        return nothing
+
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("doc_id")
+        texts, y = [t if isinstance(t, str) else None for t in sample["text"]], sample["y"].tolist()
+        weights, bias = fit(texts, y, prior) if len(set(y)) == 2 else nothing
+        return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+
+    # One group of at most 2 * SAMPLE documents.
+    model = rows.groupBy().applyInPandas(run, "weights binary, bias double").first()
+    return (np.frombuffer(model["weights"], np.float32), model["bias"]) if model else nothing
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
