@@ -92,3 +92,15 @@ def test_geometry(spark):
     assert [r.p for r in got] == [True, False, False] and got[0].d == 1.0 and got[1].d == -1.0
     one = spark.range(1).select(G.wrap_angle(F.lit(3 * math.pi / 2)).alias("w"), G.format_duration(F.lit(245.0)).alias("t"), G.significant(F.lit(0.0123456), 3).alias("g"), G.entropy(F.array(F.lit(0.5), F.lit(0.5))).alias("h")).first()
     assert abs(one.w + math.pi / 2) < 1e-9 and one.t == "4m 05s" and one.g == 0.0123 and abs(one.h - math.log(2)) < 1e-9
+
+
+def test_reports_handle_absent_behaviours(spark, tmp_path):
+    """A behaviour that a session lacks counts as share 0; one behaviour alone has no entropy."""
+    from ethospark.plans import reports
+
+    rows = [(1, 7, "view", 10.0, 1), (2, 7, "view", 90.0, 2), (3, 8, "view", 20.0, 1), (4, 8, "purchase", 30.0, 2)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    assert {(r["user_id"], r["event_type"]): r["share"] for r in reports.shares(spark, d).collect()} == {(7, "view"): 1.0, (7, "purchase"): 0.0, (8, "view"): 0.5, (8, "purchase"): 0.5}
+    assert {r["event_type"]: r["prevalence"] for r in reports.label_prevalence(spark, d).collect()} == {"view": 0.75, "purchase": 0.25}
+    assert {r["user_id"]: (round(r["entropy"], 4), r["margin"]) for r in reports.entropy_margin(spark, d).collect()} == {7: (0.0, 1.0), 8: (0.6931, 0.0)}
