@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare word n-grams seed alignments of documents with test items; Smith-Waterman scores edited copies.
+"""Benchmark decontamination: shared word n-grams pair documents with test items; Smith-Waterman scores edited copies.
 
-Every n-gram of SEED words of the items is looked up in all documents, and its document frequency counted over all of them. In each run of
-WINDOW successive n-grams of an item the rarest is a seed, so each stretch of an item has one, however common its words are, and no seed is
-dropped for being common. A document and an item that share a seed are aligned around it, word by word (match +2, mismatch and gap -1); the
-score is the best local alignment's share of the item's own, and THRESHOLD of it makes a leak.
+Every document is looked up for every n-gram of SEED words of the items, however common, and each document and item that share one are aligned
+around it, word by word (match +2, mismatch and gap -1); the score is the best local alignment's share of the item's own, and THRESHOLD of it
+makes a leak. No pair is left out for how often its n-grams occur: a frequency counted over the leaks themselves says nothing about an edited
+copy. Windows of a batch are scored together, item by item; windows that hold too few of an item's words to reach THRESHOLD are not.
 
-Items are taken in blocks of at most BLOCK_CHARS characters, each block against all documents, so the constant that a task holds is bounded.
-Equal texts are looked up once: they meet by a hash of the text before frequencies are counted and are aligned once a batch.
+Items are taken in blocks of about BLOCK_CHARS characters, each block against all documents, so the constant that a task holds is bounded.
+Documents are not shuffled. Equal texts are looked up and aligned once a batch.
 
 Defined cases: null and empty texts hold nothing; items of fewer than SEED words are looked for as a whole; null item texts are skipped; null
 doc_id is kept; repeated rows of a document give one; an empty table on either side gives no rows; other columns are ignored.
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import broadcast_if_small, materialize
 
 SEED = 3
-WINDOW = 6
 THRESHOLD = 0.5
 BLOCK_CHARS = 4 << 20
+#: So many words of windows are scored at once.
+CELLS = 1 << 19
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 
@@ -40,17 +41,6 @@ def grams(item: list[str]) -> list[tuple[str, ...]]:
     return [tuple(item[k : k + SEED]) for k in range(max(1, len(item) - SEED + 1))] if item else []
 
 
-def seeds(item: list[str], frequency: dict[tuple[str, ...], int]) -> set[tuple[str, ...]]:
-    """The rarest n-gram of each run of WINDOW, of those that documents have at all."""
-    all_of = grams(item)
-    out = set()
-    for k in range(max(1, len(all_of) - WINDOW + 1)):
-        there = [g for g in all_of[k : k + WINDOW] if frequency.get(g)]
-        if there:
-            out.add(min(there, key=lambda g: (frequency[g], g)))
-    return out
-
-
 def _rows(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     """Best local score and the places (in doc, in item) at which it ends; ties go to the earliest."""
     slope = GAP * np.arange(1, len(doc) + 1)
@@ -91,58 +81,131 @@ def _blocks(benchmark: DataFrame) -> Iterator[dict[int, list[str]]]:
         yield block
 
 
-def _hits(docs: DataFrame, index: dict[tuple[str, ...], int]) -> DataFrame:
-    """(th, gram, n, at): per text hash and n-gram, how many documents have it and where."""
-    first = frozenset(g[0] for g in index)
-    sizes = sorted({len(g) for g in index})
+def _keys(ids: np.ndarray, n: int, base: int) -> np.ndarray:
+    """One number for each n successive ids. Should it overflow, equal n-grams stay equal."""
+    keys = np.zeros(max(0, len(ids) - n + 1), np.int64)
+    for k in range(n if len(keys) else 0):
+        keys = keys * base + ids[k : k + len(keys)]
+    return keys
+
+
+class _Lookup:
+    """The items of a block as numbers of their words, and in `grams`, by length, the n-grams in order with the items that have each."""
+
+    def __init__(self, block: dict[int, list[list[str]]]) -> None:
+        self.items = [(i, item) for i, some in block.items() for item in some]
+        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, item in self.items for w in item), 1)}
+        self.ids = [self.code(item) for _, item in self.items]
+        found: dict[int, list] = {}
+        for k, x in enumerate(self.ids):
+            n = min(SEED, len(x))
+            own = np.unique(_keys(x, n, len(self.vocabulary) + 1))
+            found.setdefault(n, []).append((own, np.full(len(own), k, np.int32)))
+        self.grams = {}
+        for n, some in found.items():
+            keys, of = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(keys, kind="stable")
+            names, start = np.unique(keys[order], return_index=True)
+            self.grams[n] = names, np.append(start, len(keys)), of[order]
+
+    def code(self, text: list[str]) -> np.ndarray:
+        """Numbers of words; 0 is a word that no item has."""
+        return np.fromiter((self.vocabulary.get(w, 0) for w in text), np.int32, len(text))
+
+    def places(self, doc: np.ndarray) -> dict[int, list[int]]:
+        """Where doc has an n-gram of an item, in order, by the item's place in items."""
+        out: dict[int, list[int]] = {}
+        for n, (names, start, of) in self.grams.items():
+            keys = _keys(doc, n, len(self.vocabulary) + 1)
+            gram = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+            for at in np.flatnonzero(names[gram] == keys).tolist():
+                g = gram[at]
+                for k in of[start[g] : start[g + 1]].tolist():
+                    out.setdefault(k, []).append(at)
+        return out
+
+
+def _spans(places: list[int], length: int) -> list[tuple[int, int]]:
+    """Windows of an item's length and a half on both sides of places, merged where they meet."""
+    reach, out = length + length // 2 + SEED, []
+    for p in places:
+        a, b = max(0, p - reach), p + reach
+        if out and p - reach <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            th, gram, at = [], [], []
-            for h, text in zip(b.th, b.text, strict=True):
-                w, found = words(text), {}
-                for k in [k for k, x in enumerate(w) if x in first]:
-                    for n in sizes:
-                        g = index.get(tuple(w[k : k + n]))
-                        if g is not None:
-                            found.setdefault(g, []).append(k)
-                th += [h] * len(found)
-                gram += found
-                at += found.values()
-            yield pd.DataFrame({"th": np.array(th, np.int64), "gram": np.array(gram, np.int32), "at": pd.Series(at, dtype=object)})
 
-    return docs.select(F.xxhash64("text").alias("th"), "text").where("text is not null").mapInPandas(run, "th long, gram int, at array<int>").groupBy("th", "gram").agg(F.count(F.lit(1)).alias("n"), F.first("at").alias("at"))
+def _scores(windows: list[np.ndarray], item: np.ndarray) -> np.ndarray:
+    """The score of item in each window, as align gives it; 0 where a window has too few of item's words for THRESHOLD."""
+    out, order = np.zeros(len(windows)), sorted(range(len(windows)), key=lambda k: len(windows[k]))
+    while order:
+        widest = len(windows[order[-1]])
+        part, order = order[-max(1, CELLS // widest) :], order[: -max(1, CELLS // widest)]
+        doc = np.full((len(part), widest), -1, np.int32)
+        for r, k in enumerate(part):
+            doc[r, : len(windows[k])] = windows[k]
+        held = np.zeros(len(part), np.int32)
+        for w, n in zip(*np.unique(item, return_counts=True), strict=True):
+            held += (doc == w).any(1) * np.int32(n)
+        open_ = np.flatnonzero(held / len(item) >= THRESHOLD)
+        if not len(open_):
+            continue
+        doc = doc[open_]
+        slope = (GAP * np.arange(1, widest + 1)).astype(np.float32)
+        last, best = np.zeros((len(doc), widest + 1), np.float32), np.zeros(len(doc), np.float32)
+        for w in item:
+            now = last[:, :-1] + np.where(doc == w, np.float32(MATCH), np.float32(MISMATCH))
+            np.maximum(now, last[:, 1:] - np.float32(GAP), out=now)
+            np.maximum(now, 0, out=now)
+            now += slope
+            np.maximum.accumulate(now, axis=1, out=now)
+            now -= slope
+            np.maximum(best, now.max(1), out=best)
+            last[:, 1:] = now
+        out[np.array(part)[open_]] = best.astype(float) / (MATCH * len(item))
+    return out
+
+
+def _aligned(texts: dict[int, str], lookup: _Lookup) -> dict[int, list[tuple]]:
+    """By text hash (item_id, score, first word, end word) of each item that aligns; texts is by hash too."""
+    docs, windows = {}, {}
+    for th, text in texts.items():
+        w = words(text)
+        ids = lookup.code(w)
+        places = lookup.places(ids)
+        if places:
+            docs[th] = w
+        for k, at in places.items():
+            windows.setdefault(k, []).extend((th, a, ids[a:b]) for a, b in _spans(at, len(lookup.ids[k])))
+    out: dict[int, list[tuple]] = {}
+    for k, some in windows.items():
+        i, item = lookup.items[k]
+        best: dict[int, tuple] = {}
+        for (th, a, ids), score in zip(some, _scores([x for _, _, x in some], lookup.ids[k]), strict=True):
+            if score >= THRESHOLD and score > best.get(th, (0.0,))[0]:
+                s, start, end = align(docs[th][a : a + len(ids)], item)
+                best[th] = s, a + start, a + end
+        for th, x in best.items():
+            out.setdefault(th, []).append((i, *x))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, score, first_word, end_word) of each document and item that align at THRESHOLD or more."""
     out = None
     for block in _blocks(benchmark):
-        index: dict[tuple[str, ...], int] = {}
-        for item in (x for some in block.values() for x in some):
-            for g in grams(item):
-                index.setdefault(g, len(index))
-        if not index:
+        if not block:
             continue
-        hits = materialize(_hits(docs, index), "seed-hits")
-        name = list(index)
-        # At most one row for each n-gram of the block.
-        frequency = {name[r["gram"]]: r["n"] for r in hits.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        by_gram = [(index[g], i, k) for i, some in block.items() for k, item in enumerate(some) for g in seeds(item, frequency)]
-        chosen = docs.sparkSession.createDataFrame(by_gram, "gram int, item_id long, k int")
-        found = hits.join(F.broadcast(chosen), "gram").select("th", F.explode("at").alias("at"), "item_id", "k")
-        found = materialize(found.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("item_id", "k", "at"))).alias("found")), "seed-pairs")
-
-        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+
+        def run(batches: Iterator[pd.DataFrame], lookup=_Lookup(block)) -> Iterator[pd.DataFrame]:
             for b in batches:
-                known, rows = {}, []
-                for doc_id, th, text, found in zip(b.doc_id, b.th, b.text, b.found, strict=True):
-                    if th not in known:
-                        known[th] = _aligned(text, found, block)
-                    rows += [(doc_id, th, *x) for x in known[th]]
+                known = _aligned(dict(zip(b.th, b.text, strict=True)), lookup)
+                rows = [(doc_id, th, *x) for doc_id, th in zip(b.doc_id, b.th, strict=True) for x in known.get(th, ())]
                 yield pd.DataFrame(rows, columns=["doc_id", "th", "item_id", "score", "first_word", "end_word"])
 
-        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text").join(broadcast_if_small(found), "th")
+        rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
         rows = rows.mapInPandas(run, "doc_id string, th long, item_id long, score double, first_word int, end_word int")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -151,30 +214,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("x")).select("doc_id", "th", "item_id", "x.*")
 
 
-def _aligned(text: str, found, block) -> list[tuple]:
-    """Alignments of one text around its seeds: windows of an item's length and a half on both sides, merged where they meet."""
-    w, spans, out = words(text), {}, []
-    for x in found:
-        spans.setdefault((x["item_id"], x["k"]), []).append(x["at"])
-    for (i, k), places in spans.items():
-        item = block[i][k]
-        reach = len(item) + len(item) // 2 + SEED
-        best, a, b = (0.0, 0, 0), -1, -1
-        for p in [*sorted(places), None]:
-            if p is not None and 0 <= b and p - reach <= b:
-                b = p + reach
-                continue
-            if b >= 0:
-                score, s, e = align(w[a:b], item)
-                if score > best[0]:
-                    best = (score, a + s, a + e)
-            if p is not None:
-                a, b = max(0, p - reach), p + reach
-        if best[0] >= THRESHOLD:
-            out.append((i, *best))
-    return out
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; columns as they were."""
     bad = materialize(leaks(docs, benchmark).select(F.col("th").alias("__th")).distinct(), "leaking")

@@ -139,6 +139,20 @@ def test_decontamination(spark):
     assert decontaminate.leaks(d, b.limit(0)).collect() == [] and decontaminate.leaks(d.limit(0), b).collect() == []
 
 
+def test_edited_copy_beside_exact_copies(spark):
+    """Exact copies make the n-grams that an edited copy kept more frequent than those it broke; short changes leave no 8 words in a row."""
+    rng = random.Random(5)
+    items = [(i, prose(20 + 4 * i, rng)) for i in range(8)]
+    docs = [(100 * i + c, prose(9, rng) + " " + t + " " + prose(9, rng)) for i, t in items for c in range(3)]
+    for i, t in items:
+        docs += [(100 * i + 10 + step, prose(15, rng) + " " + " ".join("zz" if k % step == step - 1 else x for k, x in enumerate(t.split())) + " " + prose(15, rng)) for step in (4, 5, 6, 7, 8)]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(n, n // 100) for n, _ in docs} <= set(got)
+    texts, by_id = dict(docs), dict(items)
+    for (n, i), r in got.items():
+        assert (r.score, r.first_word, r.end_word) == decontaminate.align(decontaminate.words(texts[n]), decontaminate.words(by_id[i]))
+
+
 def test_alignment_equals_full_table():
     rng = random.Random(4)
     for _ in range(60):
