@@ -263,6 +263,17 @@ def zero_roster_bins(spark, d):
     return roster.join(n, ["subject", "bin"], "left").select("subject", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@register("zero_roster_all_bins", CTE + """, b AS (SELECT unnest(range(0, coalesce(max(frame), 0) + 1, 30)) AS bin FROM f), e AS (SELECT user_id, frame // 30 * 30 AS bin FROM f)
+SELECT c_custkey AS subject, b.bin::BIGINT AS bin, count(e.user_id) AS n FROM customer CROSS JOIN b LEFT JOIN e ON e.user_id = c_custkey AND e.bin = b.bin GROUP BY ALL""")
+def zero_roster_all_bins(spark, d):
+    """Every customer and every bin up to the last frame of the data; zero_roster_bins has the customers under 200 and three bins."""
+    f = frames(spark, d).select("user_id", F.col("frame").cast("long").alias("frame"))
+    last = F.broadcast(f.agg(F.coalesce(F.max("frame"), F.lit(0).cast("long")).alias("last")))
+    roster = table(spark, d, "customer").select(F.col("c_custkey").alias("subject")).crossJoin(last).select("subject", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(30).cast("long"))).alias("bin"))
+    n = f.groupBy(F.col("user_id").alias("subject"), (F.floor(F.col("frame") / 30) * 30).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return roster.join(n, ["subject", "bin"], "left").select("subject", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 @register("group_mean_sem", """WITH o AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1), j AS (SELECT c_mktsegment AS grp, coalesce(v, 0) AS v FROM customer LEFT JOIN o ON k = c_custkey)
 SELECT grp, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v) / sqrt(count(*)), 4) AS sem, round(1.96 * stddev_samp(v) / sqrt(count(*)), 4) AS ci FROM j GROUP BY grp""")
 def group_mean_sem(spark, d):

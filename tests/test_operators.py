@@ -104,3 +104,15 @@ def test_reports_handle_absent_behaviours(spark, tmp_path):
     assert {(r["user_id"], r["event_type"]): r["share"] for r in reports.shares(spark, d).collect()} == {(7, "view"): 1.0, (7, "purchase"): 0.0, (8, "view"): 0.5, (8, "purchase"): 0.5}
     assert {r["event_type"]: r["prevalence"] for r in reports.label_prevalence(spark, d).collect()} == {"view": 0.75, "purchase": 0.25}
     assert {r["user_id"]: (round(r["entropy"], 4), r["margin"]) for r in reports.entropy_margin(spark, d).collect()} == {7: (0.0, 1.0), 8: (0.6931, 0.0)}
+
+
+def test_zero_roster_has_every_customer_and_bin(spark, tmp_path):
+    """Customers from 200 on and frames past 89 are in rows too; a customer without events has zeros."""
+    from ethospark.plans import behaviour
+
+    rows = [(k, 500, "view", 1.0, k) for k in range(125)] + [(900, 3, "view", 1.0, 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(3,), (500,), (700,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r["subject"], r["bin"]): r["n"] for r in behaviour.zero_roster_all_bins(spark, str(tmp_path)).collect()}
+    want = {(s, b): 0 for s in (3, 500, 700) for b in (0, 30, 60, 90, 120)} | {(500, b): 30 for b in (0, 30, 60, 90)} | {(500, 120): 5, (3, 0): 1}
+    assert got == want
