@@ -121,6 +121,19 @@ def padded_regions(spark, d):
     return I.pad_intervals(bouts(spark, d).drop("mean_prob"), 5, F.lit(60))
 
 
+#: b, padded by 5 frames and clamped to the session's own frames.
+REGIONS = BOUTS + """, z AS (SELECT user_id, max(frame) AS last FROM f GROUP BY user_id),
+g AS (SELECT b.user_id, greatest(0, start_frame - 5) AS start_frame, least(last, end_frame + 5) AS end_frame FROM b JOIN z ON b.user_id IS NOT DISTINCT FROM z.user_id)"""
+
+
+@register("padded_regions_to_end", REGIONS + " SELECT * FROM g")
+def padded_regions_to_end(spark, d):
+    """padded_regions clamps every session to frame 60; here each has its own last frame."""
+    f = frames(spark, d).withColumn("last", F.max("frame").over(Window.partitionBy(*S)))
+    b = I.bouts_of_trace(f, [*S, "last"], "p", 0.5, 2, 3).drop("mean_prob")
+    return I.pad_intervals(b, 5, F.col("last")).drop("last")
+
+
 @register("observed_islands", BOUTS + """, c AS (SELECT *, CASE WHEN start_frame - lag(end_frame) OVER (PARTITION BY user_id ORDER BY start_frame, end_frame) - 1 > 4 THEN 1 ELSE 0 END AS cut FROM b)
 SELECT user_id, start_frame, end_frame, (sum(cut) OVER (PARTITION BY user_id ORDER BY start_frame, end_frame))::BIGINT AS island FROM c""")
 def observed_islands(spark, d):

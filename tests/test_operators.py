@@ -116,3 +116,16 @@ def test_zero_roster_has_every_customer_and_bin(spark, tmp_path):
     got = {(r["subject"], r["bin"]): r["n"] for r in behaviour.zero_roster_all_bins(spark, str(tmp_path)).collect()}
     want = {(s, b): 0 for s in (3, 500, 700) for b in (0, 30, 60, 90, 120)} | {(500, b): 30 for b in (0, 30, 60, 90)} | {(500, 120): 5, (3, 0): 1}
     assert got == want
+
+
+def test_regions_reach_each_sessions_end(spark, tmp_path):
+    """Bouts past frame 60 stay, and a short session ends at its own last frame."""
+    from ethospark.plans import behaviour, reports
+
+    on = {(1, k) for k in (*range(10, 15), *range(24, 28), *range(200, 206), *range(296, 300))} | {(2, k) for k in range(5, 20)}
+    rows = [(1000 * u + k, u, "view", 90.0 if (u, k) in on else 10.0, k) for u, n in ((1, 300), (2, 20)) for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    padded = [(1, 5, 19), (1, 19, 32), (1, 195, 210), (1, 291, 299), (2, 0, 19)]
+    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in behaviour.padded_regions_to_end(spark, d).collect()) == padded
+    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in reports.merged_regions_to_end(spark, d).collect()) == [(1, 5, 32), *padded[2:]]
