@@ -6,6 +6,7 @@ least(value / 100, 1), a behaviour is `event_type`. Raters are rules on `documen
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as G
@@ -238,6 +239,17 @@ def best_threshold(spark, d):
     return r6(M.best_threshold(labelled(spark, d), [], "y", "p", [0.1, 0.25, 0.5, 0.75]), "f1")
 
 
+#: The 37 thresholds of the reference, 0.05 to 0.95.
+GRID = np.linspace(0.05, 0.95, 37).tolist()
+
+
+@register("best_threshold_fine", "WITH " + LABELLED + ", t AS (SELECT unnest([" + ", ".join(f"'{x!r}'::DOUBLE" for x in GRID) + """]) AS threshold), c AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn FROM l, t GROUP BY 1),
+s AS (SELECT threshold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c) SELECT threshold, round(f1, 6) AS f1 FROM s ORDER BY s.f1 DESC, threshold LIMIT 1""")
+def best_threshold_fine(spark, d):
+    """best_threshold over the whole grid."""
+    return r6(M.best_threshold(labelled(spark, d), [], "y", "p", GRID), "f1")
+
+
 @register("agreement", CTE + """, u AS (SELECT user_id, avg(value) AS a, avg(value) FILTER (frame % 2 = 0) AS b FROM f GROUP BY user_id)
 SELECT count(*) AS n, round(corr(a, b), 6) AS pearson, round(2 * covar_pop(a, b) / (var_pop(a) + var_pop(b) + pow(avg(a) - avg(b), 2)), 6) AS ccc, round(pow(corr(a, b), 2), 6) AS r2, round(avg(abs(b - a)), 6) AS mae, round(avg(b - a), 6) AS bias, round(stddev_samp(b - a), 6) AS sd,
 round(avg(b - a) - 1.96 * stddev_samp(b - a), 6) AS loa_low, round(avg(b - a) + 1.96 * stddev_samp(b - a), 6) AS loa_high FROM u""")

@@ -129,3 +129,14 @@ def test_regions_reach_each_sessions_end(spark, tmp_path):
     padded = [(1, 5, 19), (1, 19, 32), (1, 195, 210), (1, 291, 299), (2, 0, 19)]
     assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in behaviour.padded_regions_to_end(spark, d).collect()) == padded
     assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in reports.merged_regions_to_end(spark, d).collect()) == [(1, 5, 32), *padded[2:]]
+
+
+def test_best_threshold_tries_37(spark, tmp_path):
+    """The best cut lies between the coarse thresholds 0.25 and 0.5."""
+    from ethospark.plans import behaviour
+
+    chars = [(k, "s", 10 * k) for k in range(1, 200)]
+    spark.createDataFrame(chars, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(n > 690)) for k, _, n in chars], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = behaviour.best_threshold_fine(spark, str(tmp_path)).first()
+    assert (round(got["threshold"], 9), got["f1"]) == (0.35, 1.0)
