@@ -102,6 +102,20 @@ def test_licenses(spark):
     assert got == {(100, 1, "mit"), (101, 0, "apache"), (102, 0, "cc-by-nc"), (None, 0, "proprietary")}
 
 
+def test_license_cut_is_taken_over_all_lines(spark, monkeypatch):
+    """Odd lines that no sampled document has raise the cut when they are more than FALSE_RATE of all lines."""
+    monkeypatch.setattr(licenses, "SAMPLE", 20)
+    monkeypatch.setattr(licenses, "FALSE_RATE", 0.01)
+    rng = random.Random(6)
+    plain = [(i, "\n".join(prose(9, rng) for _ in range(4))) for i in range(200)]
+    first = {r.doc_id for r in licenses.sample(spark.createDataFrame(plain, "doc_id long, text string")).collect()}
+    odd = "gpl zza public zzb license zzc gnu zzd"
+    docs = spark.createDataFrame([(i, t if i in first else t + "\n" + odd) for i, t in plain], "doc_id long, text string")
+    seen, cut, _ = licenses.calibrated(docs)
+    assert seen.where("unknown").count() > 100 and cut > licenses.MIN_PROBABILITY
+    assert seen.where("unknown").where(F.col("probability") > cut).count() <= 0.01 * 980
+
+
 # 4. Toxicity
 def test_toxicity(spark):
     rows, labels = [], []
