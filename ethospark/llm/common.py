@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -29,15 +27,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when nothing refers to them, which garbage collection tells it."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)  # Python's releases reach the JVM by another thread
-        spark._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def remove_table(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing will read again."""
     jvm, spark = df.sparkSession._jvm, df.sparkSession

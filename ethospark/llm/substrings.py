@@ -1,8 +1,10 @@
 """Exact removal of strings of MIN_BYTES bytes that a document of smaller doc_id holds too, by suffix arrays of shared passages.
 
-1. Documents fall into blocks of about BLOCK_BYTES. In each window of MIN_BYTES bytes the K-grams of least hash are anchors; equal windows
-   have equal anchors. A block sends its distinct anchors' hashes, packed, to the anchors' buckets.
+1. Each scan task packs its rows into blocks of about BLOCK_BYTES and writes them, compressed, as rows of a table; texts are not shuffled
+   for it, and what is shuffled later is the packed block. In each window of MIN_BYTES bytes the K-grams of least hash are anchors; equal
+   windows have equal anchors. A block sends its distinct anchors' hashes, packed, to the hashes' buckets.
 2. A bucket answers each block with a bitmap: which of its anchors occur in two documents at least. (A hash collision costs work only.)
+   The answers also count those anchors, so the buckets of the next step are cut by the bytes that can reach them, not by those of the table.
 3. For each such anchor a block cuts out the run of windows that it is the least of, at most 2 * MIN_BYTES - K bytes, and sends each
    distinct piece once, with its least doc_id, to the anchor's bucket.
 4. A bucket sorts the suffixes of its distinct pieces by two-stage sorting: only suffixes smaller than their successors are sorted
@@ -14,25 +16,31 @@ A passage in a third of all documents reaches a bucket once per block, not once
 anchor, so nothing is compared across buckets, and no step holds more than a block or a bucket.
 
 Defined cases: null text is empty; null doc_id is kept, never a source and never cut; rows of equal doc_id are not sources of each other;
-repeated rows give a row each; an empty table gives no rows; other columns are ignored.
+repeated rows give a row each; a text longer than BLOCK_BYTES is a block of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import free_shuffles, materialize
+from .common import materialize, remove_table
 
 MIN_BYTES = 50
 K = 20
 WINDOWS = MIN_BYTES - K + 1
 DEPTH = 56
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+#: Bytes of documents for each bucket of hashes, and of pieces, at their longest, for each bucket of pieces.
+HASH_BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
+LEVEL = 1
 #: Doc ids are compared as longs; this stands for "none".
 NONE = np.iinfo(np.int64).max
 _U = np.uint64
@@ -51,23 +59,25 @@ def slide(x: np.ndarray, n: int, f) -> np.ndarray:
 def words8(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, as a big-endian number; data ends with 7 bytes of padding or more."""
     n = len(data) - 7
-    return np.lib.stride_tricks.as_strided(data, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(_U)
+    return np.lib.stride_tricks.as_strided(data, (n, 8), (1, 1)).copy().view(_U).ravel().byteswap(inplace=True)
 
 
 class Anchors:
     """Anchors of texts, concatenated: place `at`, document `doc`, hash `h` and the window starts `lo`..`hi` that each is least of."""
 
-    def __init__(self, texts: list[bytes]):
-        size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        self.data = np.frombuffer(b"".join(texts) + bytes(K + 8), np.uint8)
+    def __init__(self, data: bytes, size: np.ndarray):
+        self.start = np.cumsum(size) - size
         n = int(size.sum())
+        self.data = np.frombuffer(data[:n] + bytes(K + 8), np.uint8)
         self.at = self.doc = np.zeros(0, np.int64)
         self.h, self.short = np.zeros(0, _U), np.zeros(0, np.uint32)
         if n < MIN_BYTES:
             return
         w = words8(self.data)[: n + K - 8]
-        h = (w[:n] * _A) ^ (w[8 : n + 8] * _B if K > 16 else _U(0)) ^ (w[K - 8 : n + K - 8] * _C)
+        h = w[:n] * _A
+        h ^= w[8 : n + 8] * _B
+        h ^= w[K - 8 : n + K - 8] * _C
+        del w
         h ^= h >> _U(32)
         h *= _A
         h ^= h >> _U(29)
@@ -105,16 +115,17 @@ def two_stage(text: np.ndarray) -> np.ndarray:
     """Suffix array of text by its first DEPTH bytes at least; a suffix that is another's start sorts first, ties go any way."""
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
-    t = text.astype(np.int16)
-    step = np.append(np.sign(np.diff(t)), -1)  # the last suffix is larger than the empty one
-    tells = np.where(step != 0, np.arange(n), n)
+        return np.zeros(0, np.int32)
+    # A suffix goes as its first byte does, where that differs from the next; the last suffix is larger than the empty one.
+    tells = np.arange(n, dtype=np.int32)
+    tells[:-1][text[1:] == text[:-1]] = n
     tells = np.minimum.accumulate(tells[::-1])[::-1]
-    direct = step[tells] > 0  # smaller than the successor
-    b = np.flatnonzero(direct)
+    direct = np.append(text[1:] > text[:-1], False)[tells]  # smaller than the successor
+    del tells
+    b = np.flatnonzero(direct).astype(np.int32)
     # Later keys sort only what is still tied; past its end the text counts as zeros.
     w = words8(np.concatenate([text, np.zeros(DEPTH + 8, np.uint8)]))
-    order, tied = b, np.zeros(len(b), np.int64)
+    order, tied, key, new = b, np.zeros(len(b), np.int32), None, None
     for k in range(0, DEPTH, 8):
         key = w[order + k]
         if k == 0:
@@ -131,8 +142,9 @@ def two_stage(text: np.ndarray) -> np.ndarray:
             order[open_] = some[put]
             key = w[order + k]
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (tied[1:] != tied[:-1])])
-        tied = np.cumsum(new) - 1
-    sa = np.empty(n, np.int64)
+        tied = np.cumsum(new, dtype=np.int32) - 1
+    del w, key, new, tied
+    sa = np.empty(n, np.int32)
     start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])
     head = start[:-1].copy()
     b_of = np.concatenate([[0], np.cumsum(np.bincount(text[b], minlength=256))])
@@ -169,10 +181,10 @@ def two_stage(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each entry of sa but the first, whether it and the entry before have MIN_BYTES bytes in common."""
     w = words8(np.concatenate([text, np.zeros(DEPTH + 8, np.uint8)]))
-    a, b = sa[:-1], sa[1:]
-    same = np.ones(len(b), bool)
+    same = np.ones(max(0, len(sa) - 1), bool)
     for k in [*range(0, MIN_BYTES - 8, 8), MIN_BYTES - 8]:
-        same &= w[a + k] == w[b + k]
+        key = w[sa + k]
+        same &= key[1:] == key[:-1]
     return same
 
 
@@ -182,21 +194,59 @@ def least_docs(pieces: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     starts = np.concatenate([[0], np.cumsum(size)])
     text = np.frombuffer(b"".join(pieces), np.uint8)
     sa = two_stage(text)
-    piece = np.repeat(np.arange(len(pieces)), size)
-    fits = np.arange(len(text)) + MIN_BYTES <= starts[1:][piece]
-    value = np.where(fits, doc[piece], NONE)[sa]
-    begin = np.flatnonzero(np.concatenate([[True], ~common_prefixes(text, sa)]))
-    least = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.append(begin, len(sa))))
-    out = np.empty(len(text), np.int64)
-    out[sa] = least
-    return out[fits], np.concatenate([[0], np.cumsum(size - MIN_BYTES + 1)])
+    begin = np.flatnonzero(np.concatenate([[True], ~common_prefixes(text, sa)])).astype(np.int32)
+    fits = np.ones(len(text), bool)
+    fits[(starts[1:, None] - np.arange(1, MIN_BYTES)).ravel()] = False
+    value = np.repeat(doc, size)
+    value[~fits] = NONE
+    least = np.minimum.reduceat(value[sa], begin)
+    value[sa] = np.repeat(least, np.diff(np.append(begin, len(sa))))
+    return value[fits], np.concatenate([[0], np.cumsum(size - MIN_BYTES + 1)])
 
 
-def _block(rows: pd.DataFrame) -> tuple[pd.DataFrame, Anchors, np.ndarray]:
-    """A block's rows in their order, the anchors of those with an id, and each anchor's document."""
-    rows = rows.assign(raw=[(t or "").encode() for t in rows.text]).sort_values(["none", "did", "raw"], ignore_index=True)
-    found = Anchors([b"" if none else raw for raw, none in zip(rows.raw, rows.none, strict=True)])
-    return rows, found, rows.did.to_numpy()[found.doc] if len(found.doc) else np.zeros(0, np.int64)
+class _Block:
+    """A packed block: those of its rows with an id come first, and only they have anchors."""
+
+    def __init__(self, row):
+        self.gid, self.did, self.size = int(row.gid), np.frombuffer(row.did, np.int64), np.frombuffer(row.size, np.int64)
+        self.data = zstandard.ZstdDecompressor().decompress(row.data, max_output_size=max(1, int(self.size.sum())))
+
+    def anchors(self) -> tuple[Anchors, np.ndarray]:
+        """The anchors and each anchor's doc_id."""
+        found = Anchors(self.data, self.size[: len(self.did)])
+        return found, self.did[found.doc]
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """Blocks of docs: gid, the doc_ids of the rows that have one, the sizes of all rows, and their texts, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        gid, held, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
+
+        def block() -> pa.RecordBatch:
+            did, own, rest = held
+            texts = own + rest
+            return pa.RecordBatch.from_pydict({"gid": pa.array([gid], pa.int64()), "did": [np.array(did, np.int64).tobytes()], "size": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(texts))]})
+
+        for b in batches:
+            for did, raw in zip(b.column(0), b.column(1), strict=True):
+                did, raw = did.as_py(), raw.as_py() or b""
+                cost = len(raw) + 16  # 8 bytes of id and of size
+                if size and size + cost > BLOCK_BYTES:
+                    yield block()
+                    gid, held, size = gid + 1, ([], [], []), 0
+                if did is None:
+                    held[2].append(raw)
+                else:
+                    held[0].append(did)
+                    held[1].append(raw)
+                size += cost
+        if held[1] or held[2]:
+            yield block()
+
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "gid long, did binary, size binary, data binary"), "blocks")
 
 
 def _dealt(found: Anchors, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,50 +260,65 @@ def _dealt(found: Anchors, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
+    blocks = pack(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("did"), F.col("doc_id").isNull().alias("none"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("gid"))
-
-    def anchors(block: pd.DataFrame) -> pd.DataFrame:
-        _, found, doc = _block(block)
-        order, bucket, key, first = _dealt(found, buckets)
-        at = np.flatnonzero(first)
-        doc = doc[order]
-        many = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) if len(at) else np.zeros(0, bool)
-        key, bucket = key[at], bucket[at]
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        packed = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
-        parts = [(int(b[0]), k.tobytes(), np.packbits(m).tobytes()) for b, k, m in zip(np.split(bucket, cut), np.split(packed, cut), np.split(many, cut), strict=True) if len(b)]
-        return pd.DataFrame({"p": [x[0] for x in parts], "gid": block.gid.iat[0], "keys": [x[1] for x in parts], "many": [x[2] for x in parts]})
+    buckets = max(1, -(-size // HASH_BUCKET_BYTES))
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each bucket of hashes a block's distinct keys, how often each occurs (127 at most) and, in the high bit, whether in two documents."""
+        for batch in batches:
+            for row in batch.itertuples():
+                found, doc = _Block(row).anchors()
+                order, bucket, key, first = _dealt(found, buckets)
+                at = np.flatnonzero(first)
+                if not len(at):
+                    continue
+                doc = doc[order]
+                times = np.minimum(np.diff(np.append(at, len(order))), 127).astype(np.uint8)
+                times |= (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)).astype(np.uint8) << 7
+                key, bucket = key[at], bucket[at]
+                cut = np.flatnonzero(np.diff(bucket)) + 1
+                packed = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                parts = [(int(b[0]), k.tobytes(), t.tobytes()) for b, k, t in zip(np.split(bucket, cut), np.split(packed, cut), np.split(times, cut), strict=True)]
+                yield pd.DataFrame({"p": [x[0] for x in parts], "gid": row.gid, "keys": [x[1] for x in parts], "times": [x[2] for x in parts]})
 
     def answer(bucket: pd.DataFrame) -> pd.DataFrame:
-        n = np.array([len(x) // 5 for x in bucket["keys"]])
+        n = np.array([len(x) for x in bucket.times])
         raw = np.frombuffer(b"".join(bucket["keys"]), np.uint8).reshape(-1, 5)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :5] = raw
-        key = key.view("<u8").ravel()
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=k) for m, k in zip(bucket.many, n, strict=True)]).astype(bool)
-        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
-        again = (count > 1) | (np.bincount(which, many) > 0)
-        bits = np.split(again[which], np.cumsum(n)[:-1])
-        return pd.DataFrame({"gid": bucket.gid, "p": bucket.p, "bits": [np.packbits(x).tobytes() for x in bits]})
+        times = np.frombuffer(b"".join(bucket.times), np.uint8)
+        _, which, count = np.unique(key.view("<u8").ravel(), return_inverse=True, return_counts=True)
+        again = ((count > 1) | (np.bincount(which, times >> 7) > 0))[which]
+        ends = np.cumsum(n)
+        open_ = np.add.reduceat(np.where(again, times & 127, 0).astype(np.int64), ends - n)
+        return pd.DataFrame({"gid": bucket.gid, "p": bucket.p, "n": open_, "bits": [np.packbits(x).tobytes() for x in np.split(again, ends[:-1])]})
+
+    sent = blocks.mapInPandas(anchors, "p int, gid long, keys binary, times binary")
+    answers = materialize(sent.groupBy("p").applyInPandas(answer, "gid long, p int, n long, bits binary"), "answers")
+    open_ = answers.agg(F.sum("n")).first()[0] or 0
+    piece_buckets = max(1, -(-open_ * (2 * MIN_BYTES - K) // BUCKET_BYTES))
 
     def cut(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """Rows (p, gid, kind 0: pieces, their sizes, their least documents) and one of kind 1: place, bucket and number of each piece used."""
+        """Rows (p, gid, kind 0: pieces, compressed, their sizes, their least documents) and one of kind 1: place, bucket and number of each piece used."""
         if not len(block) or not len(answers):
-            return pd.DataFrame({"p": [], "gid": [], "kind": [], "a": [], "b": [], "c": []}).astype({"p": "int32", "gid": "int32", "kind": "int32"})
-        rows, found, doc = _block(block)
+            return pd.DataFrame({"p": [], "gid": [], "kind": [], "a": [], "b": [], "c": []}).astype({"p": "int32", "gid": "int64", "kind": "int32"})
+        own = _Block(next(block.itertuples()))
+        found, doc = own.anchors()
         order, bucket, _, first = _dealt(found, buckets)
-        n = np.bincount(bucket[first], minlength=buckets)
+        ps, n = np.unique(bucket[first], return_counts=True)
         bits = dict(zip(answers.p.tolist(), answers.bits, strict=True))
-        again = np.concatenate([np.unpackbits(np.frombuffer(bits[p], np.uint8), count=n[p]) for p in np.flatnonzero(n)]).astype(bool)
+        again = np.concatenate([np.unpackbits(np.frombuffer(bits[p], np.uint8), count=k) for p, k in zip(ps.tolist(), n.tolist(), strict=True)]).astype(bool)
         chosen = order[again[np.cumsum(first) - 1]]
         lo, hi = found.runs(chosen)
         fine = lo <= hi
         chosen, lo, hi = chosen[fine], lo[fine], hi[fine]
-        by = (found.h[chosen] & _U(0xFFFFFF)).astype(np.int64) % buckets
-        data, out, used_p, used_k, gid = found.data.tobytes(), [], [], [], block.gid.iat[0]
-        ends, where, of = (hi + MIN_BYTES).tolist(), lo.tolist(), doc[chosen].tolist()
+        by = ((found.h[chosen] >> _U(24)) % _U(piece_buckets)).astype(np.int64)
+        put = np.argsort(by, kind="stable")
+        chosen, lo, hi, by = chosen[put], lo[put], hi[put], by[put]
+        where, ends, of = lo.tolist(), (hi + MIN_BYTES).tolist(), doc[chosen].tolist()
+        del found, order, bucket, first, doc
+        data, out, used_k, pack_ = own.data, [], [], zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
         for part in np.split(np.arange(len(by)), np.flatnonzero(np.diff(by)) + 1) if len(by) else []:
             known: dict[bytes, int] = {}
             least: list[int] = []
@@ -265,19 +330,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 elif of[k] < least[i]:
                     least[i] = of[k]
                 used_k.append(i)
-            used_p.append(by[part])
-            out.append((int(by[part[0]]), gid, 0, b"".join(known), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(least, np.int64).tobytes()))
+            out.append((int(by[part[0]]), own.gid, 0, pack_.compress(b"".join(known)), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(least, np.int64).tobytes()))
         if out:
-            out.append((-1, gid, 1, lo.astype(np.int64).tobytes(), np.concatenate(used_p).astype(np.int32).tobytes(), np.array(used_k, np.int32).tobytes()))
+            out.append((-1, own.gid, 1, lo.astype(np.int64).tobytes(), by.astype(np.int32).tobytes(), np.array(used_k, np.int32).tobytes()))
         return pd.DataFrame(out, columns=["p", "gid", "kind", "a", "b", "c"])
 
     def judge(bucket: pd.DataFrame) -> pd.DataFrame:
         """For each block's pieces: runs (first window, windows, least document), and how many runs each piece has."""
         known: dict[bytes, int] = {}
         least: list[int] = []
-        lists = []
+        lists, unpack = [], zstandard.ZstdDecompressor()
         for a, b, c in zip(bucket.a, bucket.b, bucket.c, strict=True):
             ends = np.cumsum(np.frombuffer(b, np.uint8), dtype=np.int64).tolist()
+            a = unpack.decompress(a, max_output_size=ends[-1])
             ids, at = [], 0
             for end, d in zip(ends, np.frombuffer(c, np.int64).tolist(), strict=True):
                 i = known.setdefault(a[at:end], len(known))
@@ -287,36 +352,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     least[i] = d
                 ids.append(i)
                 at = end
-            lists.append(np.array(ids))
+            lists.append(np.array(ids, np.int32))
         value, offset = least_docs(list(known), np.array(least, np.int64))
+        del known
         new = np.concatenate([[True], value[1:] != value[:-1]])
         new[offset[:-1]] = True
         begin = np.flatnonzero(new)
         length = np.diff(np.append(begin, len(value)))
         runs = np.searchsorted(begin, offset)  # the runs of piece i are runs[i] to runs[i + 1]
         first = begin - offset[:-1][np.searchsorted(offset, begin, side="right") - 1]
+        value = value[begin]
         out = []
         for gid, ids in zip(bucket.gid, lists, strict=True):
             count = runs[ids + 1] - runs[ids]
             each = np.repeat(runs[ids] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            pack = first[each].astype(np.uint8).tobytes() + length[each].astype(np.uint8).tobytes()
-            out.append((bucket.p.iat[0], gid, 2, count.astype(np.uint8).tobytes(), pack, value[begin[each]].tobytes()))
+            pack_ = first[each].astype(np.uint8).tobytes() + length[each].astype(np.uint8).tobytes()
+            out.append((bucket.p.iat[0], gid, 2, count.astype(np.uint8).tobytes(), pack_, value[each].tobytes()))
         return pd.DataFrame(out, columns=["p", "gid", "kind", "a", "b", "c"])
 
     def strip(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        rows = block.assign(raw=[(t or "").encode() for t in block.text]).sort_values(["none", "did", "raw"], ignore_index=True)
-        size = np.array([0 if none else len(raw) for raw, none in zip(rows.raw, rows.none, strict=True)], np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
+        own = _Block(next(block.itertuples()))
+        start = np.concatenate([[0], np.cumsum(own.size)])
         change = np.zeros(start[-1] + 1, np.int32)
         place = told[told.kind == 1]
         if len(place):
             lo, p, k = np.frombuffer(place.a.iat[0], np.int64), np.frombuffer(place.b.iat[0], np.int32), np.frombuffer(place.c.iat[0], np.int32)
-            doc = rows.did.to_numpy()[np.searchsorted(start, lo, side="right") - 1]
+            doc = own.did[np.searchsorted(start, lo, side="right") - 1]
             for x in told[told.kind == 2].itertuples():
                 a, z = np.searchsorted(p, [x.p, x.p + 1])
                 count = np.frombuffer(x.a, np.uint8).astype(np.int64)
-                pack, value = np.frombuffer(x.b, np.uint8).astype(np.int64), np.frombuffer(x.c, np.int64)
-                first, length = pack[: len(value)], pack[len(value) :]
+                pack_, value = np.frombuffer(x.b, np.uint8).astype(np.int64), np.frombuffer(x.c, np.int64)
+                first, length = pack_[: len(value)], pack_[len(value) :]
                 at = np.concatenate([[0], np.cumsum(count)])
                 mine = k[a:z]
                 each = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(count[mine])[:-1]]), count[mine]) + np.arange(count[mine].sum())
@@ -325,20 +391,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 begin = lo[use[hit]] + first[each[hit]]
                 np.add.at(change, begin, 1)
                 np.add.at(change, begin + length[each[hit]] - 1 + MIN_BYTES, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        data = np.frombuffer(own.data, np.uint8)
         out = []
-        for i, (raw, none, did) in enumerate(zip(rows.raw, rows.none, rows.did, strict=True)):
-            off = gone[start[i] : start[i + 1]]
+        for i, (at, end) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True)):
+            off = gone[at:end]
             n = int(off.sum())
-            kept = raw if not n else np.frombuffer(raw, np.uint8)[~off].tobytes()
+            kept = data[at:end] if not n else data[at:end][~off]
             spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum()) if n else 0
-            out.append((did, none, len(raw), n, spans, hashlib.sha256(kept).hexdigest()))
+            none = i >= len(own.did)
+            out.append((0 if none else int(own.did[i]), none, end - at, n, spans, hashlib.sha256(kept.tobytes()).hexdigest()))
         return pd.DataFrame(out, columns=["did", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    in_blocks = rows.groupBy("gid")
-    kinds = "p int, gid int, kind int, a binary, b binary, c binary"
-    pieces = materialize(in_blocks.cogroup(in_blocks.applyInPandas(anchors, "p int, gid int, keys binary, many binary").groupBy("p").applyInPandas(answer, "gid int, p int, bits binary").groupBy("gid")).applyInPandas(cut, kinds), "pieces")
-    free_shuffles(docs.sparkSession)
+    in_blocks = blocks.groupBy("gid")
+    kinds = "p int, gid long, kind int, a binary, b binary, c binary"
+    pieces = materialize(in_blocks.cogroup(answers.groupBy("gid")).applyInPandas(cut, kinds), "pieces")
+    remove_table(answers)
     told = pieces.where("kind = 0").groupBy("p").applyInPandas(judge, kinds).unionByName(pieces.where("kind = 1"))
     out = in_blocks.cogroup(told.groupBy("gid")).applyInPandas(strip, "did long, none boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(~F.col("none"), F.col("did")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

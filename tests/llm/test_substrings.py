@@ -57,6 +57,7 @@ def sample(seed, n):
 def test_against_brute_force(spark, monkeypatch):
     for seed, block in [(1, 1 << 20), (2, 3000)]:
         monkeypatch.setattr(s, "BLOCK_BYTES", block)
+        monkeypatch.setattr(s, "HASH_BUCKET_BYTES", block)
         monkeypatch.setattr(s, "BUCKET_BYTES", block)
         rows = sample(seed, 120)
         df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, did int")
