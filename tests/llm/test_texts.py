@@ -78,21 +78,46 @@ def test_url_rules_equal_brute_force(spark):
         rows.append((i, url, int("spam" in url and "buy" in url and rng.random() < 0.95)))
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows if i % 4], "doc_id long, quality int, toxic int")
-    got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
-    items = {r.page_id: frozenset(r.t) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
-    taught = [(items[i], t) for i, _, t in rows if i % 4]
-    base, least = sum(t for _, t in taught) / len(taught), max(urls.MIN_COUNT, urls.MIN_SUPPORT * len(taught))
+    rows += [(500, "http://spam.org/a/buy/9", None), (501, None, None), (502, "http://spam.org/a/buy/9", None)]
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string").withColumn("fired", F.lit("clash"))
+    out = urls.judge(pages, labels).collect()
+    items = {r.page_id: frozenset(r.t or ()) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()}
+    bad = {i: t for i, _, t in rows if t is not None and i % 4}
+    taught = [(items[i], bad[n]) for i, u, _ in rows if u and (n := int(u.rsplit("/", 1)[1])) in bad]
+    everywhere = frozenset.intersection(*(x for x, _ in taught))
+    share = [sum(t == v for _, t in taught) / len(taught) for v in (0, 1)]
+    least = max(urls.MIN_COUNT, urls.MIN_SUPPORT * len(taught))
     from itertools import combinations
 
-    def blocks(own):
+    def best(own):
+        found = [(0, 0, "", "allow")]
         for n in range(1, len(own) + 1):
-            for part in map(frozenset, combinations(sorted(own), n)):
+            for part in map(frozenset, combinations(sorted(own - everywhere), n)):
                 hit = [t for x, t in taught if part <= x]
-                if sum(hit) >= least and sum(hit) / len(hit) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * base):
-                    return "block"
-        return "allow"
-
-    assert got == {i: blocks(x) for i, x in items.items()} and set(got.values()) == {"allow", "block"}
+                for v, name in enumerate(("allow", "block")):
+                    k = hit.count(v)
+                    if k >= least and k / len(hit) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * share[v]):
+                        found.append((round(k / len(hit), 9), k, "", name))
+        return max(found)
+
+    want = {i: best(x) for i, x in items.items()}
+    assert {r.page_id: (r.verdict, round(r.confidence or 0, 9)) for r in out} == {i: (w[3], w[0]) for i, w in want.items()}
+    assert {w[3] for w in want.values()} == {"allow", "block"} and sum(r.fired is not None for r in out) > 100
+    assert urls.judge(pages.limit(0), labels).collect() == []
+
+
+def test_document_of_url(spark):
+    cases = {"http://a.org/en/7817?utm=1": 7817, "https://b.net/en/4033.html": 4033, "http://c.com/en/1837/": 1837, "http://c.com/12/en": None, "http://c.com/en/x12": None, "http://c.com?5": None, "c.com/5": None, None: None, "h://c/a/3/44": 44}
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    assert {r.url: r.n for r in df.select("url", urls.document_of(F.col("url")).alias("n")).collect()} == cases
+
+
+def test_tokens_that_always_occur_together_are_one(spark):
+    """30 path words in every bad url would make 2 ** 30 itemsets."""
+    rows = [(i, f"http://x.org/{'/'.join(f'w{chr(97 + k % 26)}{k // 26}' for k in range(30)) if i % 2 else 'plain'}/{i}") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert {(r.page_id % 2, r.verdict) for r in urls.judge(pages, labels).collect()} == {(0, "allow"), (1, "block")}
 
 
 # 3. Licences
