@@ -40,7 +40,8 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of documents for each bucket of hashes, and of pieces, at their longest, for each bucket of pieces.
 HASH_BUCKET_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
-LEVEL = 1
+#: Zstandard levels of blocks, which are shuffled twice, and of messages.
+BLOCK_LEVEL, LEVEL = 5, 3
 #: Doc ids are compared as longs; this stands for "none".
 NONE = np.iinfo(np.int64).max
 _U = np.uint64
@@ -204,6 +205,19 @@ def least_docs(pieces: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return value[fits], np.concatenate([[0], np.cumsum(size - MIN_BYTES + 1)])
 
 
+class _Pack:
+    """Compressed arrays and bytes of messages."""
+
+    def __init__(self):
+        self.to, self.back = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False), zstandard.ZstdDecompressor()
+
+    def put(self, x: np.ndarray | bytes) -> bytes:
+        return self.to.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).data)
+
+    def get(self, raw: bytes, kind: type) -> np.ndarray:
+        return np.frombuffer(self.back.decompress(raw), kind)
+
+
 class _Block:
     """A packed block: those of its rows with an id come first, and only they have anchors."""
 
@@ -228,7 +242,7 @@ def pack(docs: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             did, own, rest = held
             texts = own + rest
-            return pa.RecordBatch.from_pydict({"gid": pa.array([gid], pa.int64()), "did": [np.array(did, np.int64).tobytes()], "size": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(texts))]})
+            return pa.RecordBatch.from_pydict({"gid": pa.array([gid], pa.int64()), "did": [np.array(did, np.int64).tobytes()], "size": [np.array([len(x) for x in texts], np.int64).tobytes()], "data": [zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(b"".join(texts))]})
 
         for b in batches:
             for did, raw in zip(b.column(0), b.column(1), strict=True):
@@ -318,7 +332,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         chosen, lo, hi, by = chosen[put], lo[put], hi[put], by[put]
         where, ends, of = lo.tolist(), (hi + MIN_BYTES).tolist(), doc[chosen].tolist()
         del found, order, bucket, first, doc
-        data, out, used_k, pack_ = own.data, [], [], zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        data, out, used_k, pack_ = own.data, [], [], _Pack()
         for part in np.split(np.arange(len(by)), np.flatnonzero(np.diff(by)) + 1) if len(by) else []:
             known: dict[bytes, int] = {}
             least: list[int] = []
@@ -330,21 +344,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 elif of[k] < least[i]:
                     least[i] = of[k]
                 used_k.append(i)
-            out.append((int(by[part[0]]), own.gid, 0, pack_.compress(b"".join(known)), np.array([len(x) for x in known], np.uint8).tobytes(), np.array(least, np.int64).tobytes()))
+            out.append((int(by[part[0]]), own.gid, 0, pack_.put(b"".join(known)), np.array([len(x) for x in known], np.uint8).tobytes(), pack_.put(np.array(least, np.int64))))
         if out:
-            out.append((-1, own.gid, 1, lo.astype(np.int64).tobytes(), by.astype(np.int32).tobytes(), np.array(used_k, np.int32).tobytes()))
+            out.append((-1, own.gid, 1, pack_.put(lo.astype(np.int64)), pack_.put(by.astype(np.int32)), pack_.put(np.array(used_k, np.int32))))
         return pd.DataFrame(out, columns=["p", "gid", "kind", "a", "b", "c"])
 
     def judge(bucket: pd.DataFrame) -> pd.DataFrame:
         """For each block's pieces: runs (first window, windows, least document), and how many runs each piece has."""
         known: dict[bytes, int] = {}
         least: list[int] = []
-        lists, unpack = [], zstandard.ZstdDecompressor()
+        lists, pack_ = [], _Pack()
         for a, b, c in zip(bucket.a, bucket.b, bucket.c, strict=True):
             ends = np.cumsum(np.frombuffer(b, np.uint8), dtype=np.int64).tolist()
-            a = unpack.decompress(a, max_output_size=ends[-1])
+            a = pack_.get(a, np.uint8).tobytes()
             ids, at = [], 0
-            for end, d in zip(ends, np.frombuffer(c, np.int64).tolist(), strict=True):
+            for end, d in zip(ends, pack_.get(c, np.int64).tolist(), strict=True):
                 i = known.setdefault(a[at:end], len(known))
                 if i == len(least):
                     least.append(d)
@@ -366,8 +380,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for gid, ids in zip(bucket.gid, lists, strict=True):
             count = runs[ids + 1] - runs[ids]
             each = np.repeat(runs[ids] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            pack_ = first[each].astype(np.uint8).tobytes() + length[each].astype(np.uint8).tobytes()
-            out.append((bucket.p.iat[0], gid, 2, count.astype(np.uint8).tobytes(), pack_, value[each].tobytes()))
+            out.append((bucket.p.iat[0], gid, 2, count.astype(np.uint8).tobytes(), np.concatenate([first[each], length[each]]).astype(np.uint8).tobytes(), pack_.put(value[each])))
         return pd.DataFrame(out, columns=["p", "gid", "kind", "a", "b", "c"])
 
     def strip(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
@@ -376,13 +389,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         change = np.zeros(start[-1] + 1, np.int32)
         place = told[told.kind == 1]
         if len(place):
-            lo, p, k = np.frombuffer(place.a.iat[0], np.int64), np.frombuffer(place.b.iat[0], np.int32), np.frombuffer(place.c.iat[0], np.int32)
+            unpack = _Pack().get
+            lo, p, k = unpack(place.a.iat[0], np.int64), unpack(place.b.iat[0], np.int32), unpack(place.c.iat[0], np.int32)
             doc = own.did[np.searchsorted(start, lo, side="right") - 1]
             for x in told[told.kind == 2].itertuples():
                 a, z = np.searchsorted(p, [x.p, x.p + 1])
                 count = np.frombuffer(x.a, np.uint8).astype(np.int64)
-                pack_, value = np.frombuffer(x.b, np.uint8).astype(np.int64), np.frombuffer(x.c, np.int64)
-                first, length = pack_[: len(value)], pack_[len(value) :]
+                both, value = np.frombuffer(x.b, np.uint8).astype(np.int64), unpack(x.c, np.int64)
+                first, length = both[: len(value)], both[len(value) :]
                 at = np.concatenate([[0], np.cumsum(count)])
                 mine = k[a:z]
                 each = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(count[mine])[:-1]]), count[mine]) + np.arange(count[mine].sum())
