@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ BROADCAST_ROWS = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         path = getattr(spark, "_llm_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark._llm_shared_dir = path
     return path.rstrip("/")
@@ -64,7 +68,7 @@ def bucket_rank(rows: DataFrame, part: list[str], bucket: str, order: list[str],
     return rows.join(offsets, [*part, bucket]).withColumn(out, F.col("__off") + F.row_number().over(own)).drop("__off")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b) of longs: (node, comp), comp the least node; nodes without edges are absent.
 
     Alternates large-star and small-star (Kiveris et al., 2014). Each step is a grouped minimum and a join, so no neighbour list is ever
@@ -72,18 +76,17 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        cur = materialize(small.where("u <> v").distinct(), "cc")
+        last, cur = cur, materialize(small.where("u <> v").distinct(), "cc")
+        remove_table(last)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -8,7 +8,10 @@ No source is sorted in one task: keys fall into buckets, bucket sums find the on
 that bucket's rows are sorted.
 
 Defined cases: null text has no words; null source is the last source; null doc_id hashes as "null"; unlabelled documents have the middle
-weight; repeated rows count and are taken one by one; an empty table gives no rows; labels may repeat (the best quality counts).
+weight; repeated rows count and are taken one by one; of equal keys the smaller doc_id, then the shorter text goes first; a text longer than
+its source's target is taken in part; an empty table gives no rows; labels may repeat (the best quality counts); other columns are ignored by
+`mix` and kept by `mixed_documents`, whatever their names, unless they start with two underscores. A document without words takes nothing of a
+target; it is in the mix once, whatever its source's epochs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ MAX_EPOCHS = 2.0
 SEED = "mix-1"
 #: Quality weights: labelled good, unlabelled, labelled poor. Their ratio bounds how uneven key buckets are.
 GOOD, MIDDLE, POOR = 1.0, 0.75, 0.5
-BUCKETS = 512
+#: Buckets of keys of a source: so many at least, and one more for each ROWS_A_BUCKET rows of the table.
+BUCKETS, ROWS_A_BUCKET = 512, 20_000
 #: A word of the contract: a run of characters other than space and 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,7 +46,8 @@ def annotate(docs: DataFrame, labels: DataFrame | None, seed: str = SEED, withou
         out = out.join(quality.hint("merge"), out["doc_id"] == F.col("__id"), "left")
         weight = F.when(F.col("__q") >= 1, GOOD).when(F.col("__q").isNotNull(), POOR).otherwise(MIDDLE)
     out = out.withColumn("__key", -F.log("__u") / weight)
-    return out.withColumn("__bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("__key") * POOR)))).drop("__id", "__q", "__u")
+    buckets = max(BUCKETS, docs.count() // ROWS_A_BUCKET)
+    return out.withColumn("__bucket", F.floor(buckets * (1 - F.exp(-F.col("__key") * POOR)))).drop("__id", "__q", "__u")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -58,35 +63,37 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame) -> DataFrame:
-    """Per source: target, complete epochs, words of the last epoch, the bucket it ends in and the words before that bucket."""
+    """Per source: __size_all, __target, complete __epochs, __rest (words of the last epoch), the bucket it __ends in and the words __before that bucket."""
     sums = materialize(rows.groupBy("__null", "__src", "__bucket").agg(F.sum("__size").alias("s")), "mix-buckets")
     t = targets(sums.groupBy("__null", "__src").agg(F.sum("s").alias("source_size")))
-    t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    t = t.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    t = t.select("__null", "__src", F.col("source_size").alias("__size_all"), F.col("target").alias("__target"))
+    t = t.withColumn("__epochs", F.when(F.col("__size_all") > 0, F.floor(F.col("__target") / F.col("__size_all"))).otherwise(F.lit(0)).cast("long"))
+    t = t.withColumn("__rest", F.floor(F.col("__target") - F.col("__epochs") * F.col("__size_all")).cast("long"))
     run = sums.withColumn("upto", F.sum("s").over(Window.partitionBy("__null", "__src").orderBy("__bucket")))
-    ends = run.join(t, ["__null", "__src"]).where("rest > 0 and upto >= rest").groupBy("__null", "__src").agg(F.min("__bucket").alias("end"), F.min_by(F.col("upto") - F.col("s"), "__bucket").alias("before"))
+    ends = run.join(t, ["__null", "__src"]).where("__rest > 0 and upto >= __rest").groupBy("__null", "__src").agg(F.min("__bucket").alias("__ends"), F.min_by(F.col("upto") - F.col("s"), "__bucket").alias("__before"))
     return materialize(t.join(ends, ["__null", "__src"], "left"), "mix-plan")
 
 
 def apply_plan(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """rows with source_size, target, epochs and __last: words of the last, incomplete epoch."""
+    """rows with the columns of plan and __last: words of the last, incomplete epoch."""
     rows = rows.join(broadcast_if_small(by_source), ["__null", "__src"])
     inside = Window.partitionBy("__null", "__src").orderBy("__key", "doc_id", "__size")
-    ends = rows.where("__bucket = end").withColumn("__start", F.col("before") + F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
-    ends = ends.withColumn("__last", F.greatest(F.lit(0), F.least("__size", F.col("rest") - F.col("__start")))).drop("__start")
-    others = rows.where("end is null or __bucket <> end").withColumn("__last", F.when(F.col("__bucket") < F.col("end"), F.col("__size")).otherwise(F.lit(0)))
+    ends = rows.where("__bucket = __ends").withColumn("__start", F.col("__before") + F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    ends = ends.withColumn("__last", F.greatest(F.lit(0), F.least("__size", F.col("__rest") - F.col("__start")))).drop("__start")
+    others = rows.where("__ends is null or __bucket <> __ends").withColumn("__last", F.when(F.col("__bucket") < F.col("__ends"), F.col("__size")).otherwise(F.lit(0)))
     return others.unionByName(ends)
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken and source for each row of docs."""
     rows = materialize(annotate(docs.select("doc_id", "text", "source"), labels, seed, without=("text",)), "mix-rows")
-    return apply_plan(rows, plan(rows)).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("__size") + F.col("__last")).alias("taken"), "source")
+    return apply_plan(rows, plan(rows)).select("doc_id", F.col("__size").alias("size"), F.col("__size_all").alias("source_size"), F.col("__target").alias("target"), (F.col("__epochs") * F.col("__size") + F.col("__last")).alias("taken"), "source")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED) -> DataFrame:
-    """The mix itself, with the columns of docs: a document's row once for each epoch that takes it; the last one only if at least half of it fits."""
+    """The mix itself, with the columns of docs: a document's row once for each epoch that takes it, the last one only if at least half of it fits; without words, once."""
     rows = annotate(docs, labels, seed)
     by_source = plan(rows)
-    out = apply_plan(rows, by_source).withColumn("__copies", (F.col("epochs") + F.when((F.col("__size") > 0) & (2 * F.col("__last") >= F.col("__size")), 1).otherwise(0)).cast("int"))
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    words = F.col("__epochs") + F.when(2 * F.col("__last") >= F.col("__size"), 1).otherwise(0)
+    out = apply_plan(rows, by_source).withColumn("__copies", F.when(F.col("__size") > 0, words).otherwise(F.lit(1)).cast("int"))
+    return out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

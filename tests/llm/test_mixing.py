@@ -44,6 +44,28 @@ def test_words(spark):
     assert got == {202: 3, 203: 1, 1: 0}
 
 
+def test_clashing_columns_and_texts_without_words(spark):
+    """Whatever other columns are called, they come back; a document without words is in the mix once."""
+    names = ["end", "target", "rest", "epochs", "before", "source_size", "size", "key", "s", "w", "cap", "quality", "a.b"]
+    docs = spark.createDataFrame(ROWS + [(300, " \t", "s0"), (301, None, "s0"), (302, "", "only")], "doc_id long, text string, source string").withColumns({c: mixing.F.lit(c) for c in names})
+    out = mixing.mixed_documents(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r["end"] == "end" and r["a.b"] == "a.b" for r in rows)
+    times = {}
+    for r in rows:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert all(times[i] == 1 for i in (200, 201, 300, 301, 302))
+    assert mixing.mixed_documents(docs.limit(0)).collect() == []
+
+
+def test_bucket_count_changes_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    one = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BUCKETS", 3)
+    assert one == sorted(map(str, mixing.mix(docs).collect()))
+
+
 def test_documents_and_empty(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumn("size", mixing.F.lit(1))
     out = mixing.mixed_documents(docs)
