@@ -14,8 +14,9 @@ That last test names pairs only in buckets of up to PAIRS_UP_TO texts. The texts
 and BLOCK_CHARS characters, and a task compares two blocks by matrix products, giving a spanning forest of what is similar and no other pair.
 
 Defined cases: null text and null doc_id are in no class but their own (class_id = doc_id); texts without words match equal texts only; texts
-of fewer than SHINGLE words are one shingle; rows with equal doc_id share a node; repeated rows give a row each; an empty table gives no rows;
-other columns are ignored.
+of fewer than SHINGLE words are one shingle; rows with equal doc_id share a node; repeated rows give a row each; a very long text is taken
+whole, one at a time; an empty table gives no rows; other columns are ignored, and kept by `representatives` whatever their names, unless they
+start with two underscores. Without text a row is in no class and stays.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import broadcast_if_small, components, materialize
+from .common import broadcast_if_small, components, join_salted, materialize
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -38,6 +39,8 @@ STAR_ROUNDS = 3
 BATCH_SHINGLES = 400_000
 #: Buckets of up to this many open texts are tested pair by pair, larger ones by blocks.
 PAIRS_UP_TO = 16
+#: A bucket's rows are spread over so many join keys where they meet what is known of the bucket.
+SALTS = 32
 #: Texts and characters of a block, by expectation, and columns of one matrix product.
 BLOCK, BLOCK_CHARS, COLUMNS = 512, 8_000_000, 4096
 WORD = re.compile(r"\w+")
@@ -257,6 +260,11 @@ def _verified_blocks(open_: DataFrame, large: DataFrame, texts: DataFrame) -> Da
     return near.mapInPandas(run, "a long, b long")
 
 
+def _in_bucket(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Inner join of rows(id, key, ..) with keyed (one row a bucket), which no bucket's size makes uneven."""
+    return join_salted(rows, keyed.withColumn("__on", F.lit(1)), "key", SALTS, F.col("id")).where("__on = 1").drop("__on")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of each row of docs."""
     rows = materialize(_bands(docs), "bands")
@@ -268,7 +276,7 @@ def classes(docs: DataFrame) -> DataFrame:
     links = materialize(same.distinct(), "links")
     each = nodes.select("id", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(each.join(shared, "key"), "members")
+    members = materialize(_in_bucket(each, shared), "members")
     # How much company a text has over all its buckets: what many were copied from has the most, and leads first.
     company = materialize(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
     members = materialize(members.drop("n").join(broadcast_if_small(company), "id"), "members")
@@ -281,10 +289,10 @@ def classes(docs: DataFrame) -> DataFrame:
         if comp is not None:
             open_ = members.join(comp, members["id"] == comp["node"], "left").select("id", "key", "company", F.coalesce("comp", "id").alias("comp"))
             split = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            open_ = materialize(open_.join(split, "key"), "open")
+            open_ = materialize(_in_bucket(open_, split), "open")
         if n < STAR_ROUNDS:
             lead = open_.groupBy("key").agg(F.max_by(F.struct("id", "comp"), F.struct(F.lit(0) if n % 2 else F.col("company"), F.xxhash64("id", F.lit(n)))).alias("lead"))
-            met = open_.join(lead, "key").where(F.col("comp") != F.col("lead.comp")).groupBy("id", F.col("lead.id").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+            met = _in_bucket(open_, lead).where(F.col("comp") != F.col("lead.comp")).groupBy("id", F.col("lead.id").alias("to")).agg(F.count(F.lit(1)).alias("n"))
             pairs = met.groupBy("id").agg(F.max_by("to", F.struct("n", "to")).alias("to")).select(F.col("id").alias("a"), F.col("to").alias("b"))
         else:
             sizes = open_.join(texts.select("id", F.length("text").alias("chars")), "id").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars_all"))
@@ -308,12 +316,16 @@ def _repeats(rows: DataFrame) -> bool:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, the least doc_id; columns as they were. Rows without id or text stay."""
-    found = materialize(classes(docs.select("doc_id", "text")), "classes")
+    there = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    bare, some = docs.where(~there), docs.where(there)
+    found = materialize(classes(some.select("doc_id", "text")), "classes")
     away = materialize(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__away")).distinct(), "away")
-    kept = docs.join(broadcast_if_small(away), docs["doc_id"] == F.col("__away"), "left_anti")
-    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
+    kept = some.join(broadcast_if_small(away), some["doc_id"] == F.col("__away"), "left_anti")
+    again = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "again")
     if not again.count():
-        return kept
+        return kept.unionByName(bare)
     again = broadcast_if_small(again)
-    one = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti").unionByName(one)
+    # Of the rows of one doc_id the least by its text's digest, then by all columns, so reruns agree.
+    first = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")), F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    one = kept.join(again, kept["doc_id"] == F.col("__again"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.join(again, kept["doc_id"] == F.col("__again"), "left_anti").unionByName(one).unionByName(bare)

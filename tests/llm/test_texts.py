@@ -281,6 +281,39 @@ def test_near_duplicates(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_recall_by_similarity(spark):
+    """Of pairs at 0.8 or more none is lost, band by band; texts that only pairs below 0.8 tie together stay apart."""
+    rng, known = random.Random(21), neardup._Words()
+    docs, bands = [], {0.7: 0, 0.8: 0, 0.85: 0, 0.9: 0, 0.95: 0}
+    for g in range(120):
+        base = prose(n := 100 + 20 * (g // 8), rng).split()
+        docs.append((2 * g, " ".join(base)))
+        for at in range(2, n, n // (1 + g % 8)):
+            base[at] = "edited"
+        docs.append((2 * g + 1, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for g in range(120):
+        like = neardup.similarity(*(neardup.shingles(docs[2 * g + k][1], known) for k in (0, 1)))
+        assert (got[2 * g] == got[2 * g + 1]) == (like >= neardup.THRESHOLD), like
+        if like >= 0.7:
+            bands[max(b for b in bands if b <= like)] += 1
+    assert all(bands.values()), bands
+
+
+def test_one_bucket_of_most_rows(spark):
+    """A group of near copies larger than all else, twice with equal ids and different texts."""
+    rng = random.Random(22)
+    base = prose(200, rng).split()
+    docs = [(k, " ".join(w if j != k else f"own{k}" for j, w in enumerate(base))) for k in range(120)] + [(500 + k, prose(60, rng)) for k in range(40)] + [(500, prose(60, rng)), (501, None), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "key", "comp", "md", "n", "class_id")})
+    found = {}
+    for r in neardup.classes(df).collect():
+        found.setdefault(r.class_id, set()).add(r.doc_id)
+    assert found[0] == set(range(120)) and found[None] == {None} and all(len(found[500 + k]) == 1 for k in range(40))
+    once, again = (sorted(map(str, neardup.representatives(x).collect())) for x in (df, df.repartition(5)))
+    assert once == again and len(once) == 1 + 40 + 2
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a = (np.arange(1, 301, dtype=np.uint64) * np.uint64(7919), rng.uniform(1, 3, 300))
