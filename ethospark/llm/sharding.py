@@ -5,7 +5,7 @@ every source evenly over (0, 1). Sorted by it and cut into equal runs, each shar
 (law `rows`).
 
 Defined cases: null text counts as empty; null source is a source of its own; null doc_id hashes as the text "null"; repeated rows take
-places of their own; an empty table gives no rows; other columns are ignored. Equal texts are not held together: the law is `rows`, and a
+places of their own (equal hashes go by checksum and size of the text); a text of any length is one row, as only its size and checksum move; an empty table gives no rows; other columns are ignored. Equal texts are not held together: the law is `rows`, and a
 group of copies may be larger than a shard.
 """
 
@@ -17,7 +17,8 @@ from .common import bucket_rank, materialize
 
 N_SHARDS = 40
 SEED = "interleave-1"
-ROWS_A_BUCKET = 20_000
+#: Buckets of a source and of the whole: so many at least, and one for each ROWS_A_BUCKET rows.
+BUCKETS, ROWS_A_BUCKET = 64, 5_000
 
 
 def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> DataFrame:
@@ -27,7 +28,7 @@ def interleave(docs: DataFrame, n_shards: int = N_SHARDS, seed: str = SEED) -> D
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", F.col("source").isNull().alias("src_null"), F.coalesce("source", F.lit("")).alias("src"), h.alias("h"))
     rows = materialize(rows, "shard-rows")
     n = rows.count()
-    buckets = max(16, n // ROWS_A_BUCKET)
+    buckets = max(BUCKETS, n // ROWS_A_BUCKET)
     rows = rows.withColumn("b1", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets))
     rows = bucket_rank(rows, ["src_null", "src"], "b1", ["h", "text_crc32", "size"], "r", "n_src")
     rows = rows.withColumn("f", (F.col("r") - 0.5) / F.col("n_src")).withColumn("b2", F.floor(F.col("f") * buckets))
