@@ -4,13 +4,15 @@ A sentence's logit is a bias plus the sum of its words' weights; a word's weight
 its prefixes of four to six characters, so unseen forms of a seen stem still count. A document's score is the noisy-or of its sentences,
 1 - prod(1 - p). Weights are fitted to document labels by the noisy-or likelihood; the sentence scores then locate what made a document toxic.
 
-Training reads a bounded sample: the SAMPLE documents of either label that come first by a hash of their id. One task of an executor fits
+Training reads a bounded sample: of the SAMPLE documents of either label that come first by a hash of their id, the first whose texts have
+SAMPLE_CHARS characters together at most. One task of an executor fits
 them, and a lost executor's task is run again; the driver gets the weights alone. Everything else covers all rows: each whole text is scored,
 a sentence at a time, on the executors with the weights as a constant of fixed size (2 ** BITS floats).
 
 Defined cases: null and empty texts have one empty sentence; null doc_id is scored (held_out null); labels that are null or of null doc_id
-teach nothing and of repeated labels the largest counts; without labels of both kinds every score is 0; an empty table gives no rows; other
-columns are ignored.
+teach nothing and of repeated labels the largest counts; repeated rows are scored each and teach once, by their least text; a very long text is
+scored whole, sentence by sentence; without labels of both kinds every score is 0; an empty table gives no rows; other columns are ignored,
+and kept by `score` whatever their names, unless they start with two underscores.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from math import exp, expm1, log1p
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 BITS = 18
-SAMPLE = 4000
+SAMPLE, SAMPLE_CHARS = 4000, 16_000_000
 STEPS = 300
 RATE = 0.2
 DECAY = 1e-6
@@ -75,6 +77,7 @@ def fit(texts: list[str | None], toxic: list[int], prior: float) -> tuple[np.nda
     for d, words in zip(np.unique(pair // len(vocab)), np.split(pair % len(vocab), np.flatnonzero(np.diff(pair // len(vocab))) + 1), strict=False):
         starts = np.concatenate([slot_list[w] for w in words])
         docs_of[np.unique(starts)] += 1
+    del pair, slot_list, each
     kept = docs_of >= MIN_DOCS
     word_of, slot = word_of[kept[slot]], slot[kept[slot]]
     told = np.zeros(len(vocab), bool)
@@ -144,6 +147,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * sample ids are broadcast; repeated rows of a document teach once.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # The window is over at most sample rows of each label.
+    upto = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id"))
+    rows = rows.withColumn("__upto", upto).where(F.col("__upto") <= SAMPLE_CHARS).drop("__upto")
     return rows, counts[1] / sum(counts.values())
 
 
