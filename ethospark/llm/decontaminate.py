@@ -9,7 +9,9 @@ Items are taken in blocks of about BLOCK_CHARS characters, each block against al
 Documents are not shuffled. Equal texts are looked up and aligned once a batch.
 
 Defined cases: null and empty texts hold nothing; items of fewer than SEED words are looked for as a whole; null item texts are skipped; null
-doc_id is kept; repeated rows of a document give one; an empty table on either side gives no rows; other columns are ignored.
+doc_id is kept; repeated rows of a document give one; a very long text is searched whole, and only windows around shared n-grams are aligned;
+of equally good windows the first counts; an empty table on either side gives no rows; other columns are ignored, and kept by `clean` whatever
+their names, unless they start with two underscores.
 """
 
 from __future__ import annotations
@@ -192,6 +194,11 @@ def _aligned(texts: dict[int, str], lookup: _Lookup) -> dict[int, list[tuple]]:
     return out
 
 
+def _digest() -> F.Column:
+    """What tells texts apart: 128 bits, so that among 10 ** 10 texts no innocent one is expected to share a leak's."""
+    return F.md5(F.col("text").cast("binary"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, score, first_word, end_word) of each document and item that align at THRESHOLD or more."""
     out = None
@@ -205,11 +212,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(doc_id, th, *x) for doc_id, th in zip(b.doc_id, b.th, strict=True) for x in known.get(th, ())]
                 yield pd.DataFrame(rows, columns=["doc_id", "th", "item_id", "score", "first_word", "end_word"])
 
-        rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-        rows = rows.mapInPandas(run, "doc_id string, th long, item_id long, score double, first_word int, end_word int")
+        rows = docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), _digest().alias("th"), "text")
+        rows = rows.mapInPandas(run, "doc_id string, th string, item_id long, score double, first_word int, end_word int")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, th long, item_id long, score double, first_word int, end_word int")
+        return docs.sparkSession.createDataFrame([], "doc_id long, th string, item_id long, score double, first_word int, end_word int")
     # Two texts of one item_id may both align.
     return out.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("score", "first_word", "end_word")).alias("x")).select("doc_id", "th", "item_id", "x.*")
 
@@ -217,4 +224,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; columns as they were."""
     bad = materialize(leaks(docs, benchmark).select(F.col("th").alias("__th")).distinct(), "leaking")
-    return docs.withColumn("__th", F.xxhash64("text")).join(broadcast_if_small(bad), "__th", "left_anti").select(*docs.columns)
+    return docs.withColumn("__th", _digest()).join(broadcast_if_small(bad), "__th", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

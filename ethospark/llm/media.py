@@ -5,7 +5,7 @@ values; the reader knows all five filters, tests every chunk's checksum and the
 luminance to 32 x 32 by area means, transforms it (DCT-II) and compares the 8 x 8 lowest frequencies with their median.
 
 Defined cases: null text is empty; an empty text is a row of spaces; equal texts give equal values; null doc_id is kept; an empty table
-gives no rows; other columns are ignored.
+gives no rows; a very long text is a taller image, held whole; repeated rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations

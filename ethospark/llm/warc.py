@@ -8,7 +8,7 @@ ARCHIVE_BYTES. A sample affects the compression only, never what is stored.
 
 Defined cases: null html is an empty payload; null url has no WARC-Target-URI; null page_id keeps a record and comes back null; rows with
 equal page_id are records of their own; of equal payloads with equal largest page_id, rows with that id are all responses; an empty table
-gives no rows; other columns are ignored.
+gives no rows; a very long payload is one record, and an archive of its own when it passes ARCHIVE_BYTES; other columns are ignored.
 """
 
 from __future__ import annotations
