@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ethospark.llm import decontaminate, mixing, neardup, sharding, toxicity
-from ethospark.llm.common import materialize
+from ethospark.llm.common import materialize, remove_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,28 +13,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or toxicity is below the threshold."""
+    """Documents whose noisy-or toxicity is below the threshold; null and empty texts are scored as they are, and other columns, whatever their names, stay."""
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("__toxicity") < toxicity.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, the least doc_id, and one row of those with its id; rows without id or text stay."""
     return neardup.representatives(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; rows without text stay."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document's row once for each epoch that takes it."""
+    """The mix: a document's row once for each epoch that takes it, and a document without words once."""
     return mixing.mixed_documents(docs, _table(spark, sf_dir, "labels"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of each row of the mix."""
+    """Shard and place of each row of the mix; rows of a document that comes twice have places of their own."""
     return sharding.interleave(docs)
 
 
@@ -45,8 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over documents; an empty table gives no rows. A stage's table goes when the next one is written."""
+    docs = last = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, last, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            remove_table(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1 +1,13 @@
-"""Behaviour-series analytics on Spark."""
+"""Queries: importing a module registers its queries."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("behaviour", "reports")
+
+
+def load() -> None:
+    """Register the queries of all modules."""
+    for name in MODULES:
+        importlib.import_module(f"{__name__}.{name}")
