@@ -131,7 +131,9 @@ def judge(pages: DataFrame, labels: DataFrame, listed_rules=RULES) -> DataFrame:
     name, verdict = listed(host, path, listed_rules)
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("listed"))
     rules = mine(labelled_urls(pages, labels))
-    urls = rows.where("listed is null and url is not null").select("url").distinct()
+    # A fixed number of partitions: the urls are small, but each meets many rules, so they must not be put together in one task.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    urls = rows.where("listed is null and url is not null").select("url").repartition(parts, "url").distinct()
     out = join_salted(rows, match(urls, rules), "url", SALTS, F.coalesce(F.col("page_id"), F.lit(0)))
     free = F.col("listed").isNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.col("listed"), F.col("decided"), F.lit("allow")).alias("verdict"), F.when(free, F.col("fired")).alias("fired"), F.when(free, F.col("confidence")).alias("confidence"))
