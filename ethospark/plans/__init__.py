@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("behaviour", "reports")
+MODULES = ("behaviour", "reports", "poses")
 
 
 def load() -> None:
