@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("behaviour", "reports", "poses", "ranking")
+MODULES = ("behaviour", "reports", "poses", "ranking", "dense")
 
 
 def load() -> None:

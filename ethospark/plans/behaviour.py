@@ -172,13 +172,13 @@ def best_iou(spark, d):
 
 @register("greedy_match")
 def greedy_match(spark, d):
-    return I.greedy_match(bouts(spark, d), seeds(spark, d), "user_id")
+    return I.greedy_match(bouts(spark, d), seeds(spark, d), S)
 
 
 @register("suppress_overlaps")
 def suppress_overlaps(spark, d):
-    w = W.window_stats(windows(spark, d), S, "value", 16).select("user_id", "start_frame", "end_frame", F.col("value_mean").alias("score"))
-    return I.suppress_overlaps(w, "user_id", "score")
+    w = W.window_stats(windows(spark, d), S, "value", 16).select("user_id", "start_frame", "end_frame", F.round("value_mean", 9).alias("score"), F.round("value_std", 6).alias("uncertainty"))
+    return I.suppress_overlaps(w, S, ["score", "uncertainty"])
 
 
 @register("transitions", CTE + """, t AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY frame) AS dst FROM f), c AS (SELECT user_id, src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)

@@ -75,7 +75,7 @@ def test_overlap_semi_anti(spark):
 def test_greedy_takes_later_of_equals(spark):
     p = spark.createDataFrame([("x", 0, 9)], "s string, start_frame int, end_frame int")
     t = spark.createDataFrame([("x", 0, 4), ("x", 5, 9)], "s string, r_start int, r_end int")
-    assert tuple(I.greedy_match(p, t, "s").first()) == ("x", 1, 0, 1)
+    assert tuple(I.greedy_match(p, t, ["s"]).first()) == ("x", 1, 0, 1)
 
 
 def test_ngrams_drop_uniform(spark):
