@@ -63,17 +63,40 @@ def _binned(df: DataFrame, width: int, start: str, end: str) -> DataFrame:
     return df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", width: int = 64) -> DataFrame:
-    """Closed-interval overlap of left(start_frame, end_frame) and right(r_start, r_end); how: inner, left_semi or left_anti.
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", width: int = 64, half_open: bool = False) -> DataFrame:
+    """Overlap of left(start_frame, end_frame) and right(r_start, r_end); how: inner, left_semi or left_anti. Ends are inclusive, or not if half_open.
 
-    Both sides are cut into bins of `width` frames, so the join is by equality; a pair is kept in the first bin that both have.
+    Both sides are cut into bins of `width` frames, so the join is by equality; a pair is kept in the first bin that both have. For left_semi
+    and left_anti the left side is read as distinct rows of its keys and interval, and comes back whole by these.
     """
-    a = _binned(left.withColumn("__id", F.struct(*left.columns)), width, "start_frame", "end_frame")
+    meets = (F.col("start_frame") < F.col("r_end")) & (F.col("end_frame") > F.col("r_start")) if half_open else (F.col("start_frame") <= F.col("r_end")) & (F.col("end_frame") >= F.col("r_start"))
     b = _binned(right, width, "r_start", "r_end")
-    hit = a.join(b, [*keys, "__bin"]).where((F.col("start_frame") <= F.col("r_end")) & (F.col("end_frame") >= F.col("r_start")))
     if how == "inner":
-        return hit.where(F.col("__bin") == F.greatest(F.floor(F.col("start_frame") / width), F.floor(F.col("r_start") / width))).drop("__bin", "__id")
-    return left.withColumn("__id", F.struct(*left.columns)).join(hit.select("__id").distinct(), "__id", how).drop("__id")
+        hit = _binned(left, width, "start_frame", "end_frame").join(b, [*keys, "__bin"]).where(meets)
+        return hit.where(F.col("__bin") == F.greatest(F.floor(F.col("start_frame") / width), F.floor(F.col("r_start") / width))).drop("__bin")
+    own = [*keys, "start_frame", "end_frame"]
+    met = _binned(left.select(*own).distinct(), width, "start_frame", "end_frame").join(b.select(*keys, "__bin", "r_start", "r_end"), [*keys, "__bin"]).where(meets).select(*own).distinct()
+    return left.join(met, own, how)
+
+
+def nearest_center(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """points(r_start, r_end) with the interval of nearest centre in its keys (start_frame, end_frame), the first of equals; those of keys without one go.
+
+    Two looks along the centres of both, one back and one ahead: no pair but two for each point.
+    """
+    mid = lambda a, z: (F.col(a) + F.col(z)) / 2
+    rest = [c for c in points.columns if c not in keys]
+    p = points.select(*keys, mid("r_start", "r_end").alias("__c"), F.struct(*rest).alias("__p"), F.lit(None).cast("struct<start_frame:bigint,end_frame:bigint>").alias("__i"))
+    i = intervals.select(*keys, mid("start_frame", "end_frame").alias("__c"), F.struct(F.col("start_frame").cast("bigint").alias("start_frame"), F.col("end_frame").cast("bigint").alias("end_frame")).alias("__i")).groupBy(*keys, "__c").agg(F.min("__i").alias("__i"))
+    i = i.withColumn("__p", F.lit(None).cast(p.schema["__p"].dataType))
+    both = p.unionByName(i)
+    at = F.when(F.col("__i").isNotNull(), F.struct("__c", "__i"))
+    w = Window.partitionBy(*keys).orderBy("__c", F.col("__i").isNull().cast("int"))
+    back, ahead = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    n = both.withColumns({"__b": back, "__a": ahead}).where("__p is not null")
+    db, da = F.col("__c") - F.col("__b.__c"), F.col("__a.__c") - F.col("__c")
+    first = F.when(F.col("__a").isNull() | (db < da) | ((db == da) & (F.col("__b.__i.start_frame") <= F.col("__a.__i.start_frame"))), F.col("__b.__i")).otherwise(F.col("__a.__i"))
+    return n.withColumn("__m", first).where("__m is not null").select(*keys, "__p.*", "__m.start_frame", "__m.end_frame")
 
 
 def temporal_iou(start: F.Column, end: F.Column, r_start: F.Column, r_end: F.Column) -> F.Column:

@@ -30,11 +30,11 @@ def roc_auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
 
 
 def average_precision(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
-    """Sum of precision times gain in recall over falling distinct scores."""
+    """Sum of precision times gain in recall over falling distinct scores in [0, 1]."""
     by = df.groupBy(*keys, score).agg(F.sum(y).alias("__p"), F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc())
-    by = by.withColumns({"__tp": F.sum("__p").over(w), "__k": F.sum("__n").over(w)})
-    return by.groupBy(*keys).agg((F.sum(F.col("__p") * F.col("__tp") / F.col("__k")) / F.nullif(F.sum("__p"), F.lit(0))).alias("ap"))
+    n = ranked(by, keys, score, "__n").select(*keys, score, "__p", "__n", (F.col("__m") - F.col("__below")).alias("__k"))
+    p = ranked(by, keys, score, "__p").select(*keys, score, (F.col("__m") - F.col("__below")).alias("__tp"))
+    return n.join(p, [*keys, score]).groupBy(*keys).agg((F.sum(F.col("__p") * F.col("__tp") / F.col("__k")) / F.nullif(F.sum("__p"), F.lit(0))).alias("ap"))
 
 
 def calibration(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> DataFrame:
@@ -76,17 +76,81 @@ def cohen_kappa(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return out.select(*keys, "n", "po", F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
+def ranked(df: DataFrame, keys: list[str], value: str, n: str, buckets: int = 1024) -> DataFrame:
+    """df, one row a distinct value of [0, 1] with its count n, with __bucket, __below (count of smaller values) and __m (count of all).
+
+    Values fall into buckets, and offsets come from sums of buckets; no window holds more than a bucket's distinct values or all buckets.
+    """
+    b = df.withColumn("__bucket", F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)))
+    sums = b.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__s"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    sums = sums.select(*keys, "__bucket", F.coalesce(F.sum("__s").over(w.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"), F.sum("__s").over(w).alias("__m"))
+    own = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return b.join(sums, [*keys, "__bucket"]).withColumn("__below", F.col("__o") + F.coalesce(F.sum(n).over(own), F.lit(0))).drop("__o")
+
+
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """q = smallest p * m / rank from here to the largest p; nulls stay out of m."""
-    w = Window.partitionBy(*keys).orderBy(p)
-    part = df.where(F.col(p).isNotNull()).withColumns({"__r": F.row_number().over(w), "__m": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    part = part.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__r")).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    return part.drop("__r", "__m").unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    """q = smallest p * m / rank from here to the largest p; nulls stay out of m. Equal p have equal q, that of the last of them.
+
+    Works on distinct p: the last rank of each is its cumulated count. The least to the right is taken within a bucket and over the buckets behind.
+    """
+    by = ranked(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")), keys, p, "__n")
+    raw = by.withColumn("__q", F.col(p) * F.col("__m") / (F.col("__below") + F.col("__n")))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    behind = raw.groupBy(*keys, "__bucket").agg(F.min("__q").alias("__l")).select(*keys, "__bucket", F.min("__l").over(w.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)).alias("__l"))
+    own = F.min("__q").over(Window.partitionBy(*keys, "__bucket").orderBy(p).rowsBetween(0, Window.unboundedFollowing))
+    q = raw.join(behind, [*keys, "__bucket"]).select(*keys, p, F.least(F.lit(1.0), own, "__l").alias("q"))
+    return df.join(q, [*keys, p], "left")
+
+
+def bh_threshold(df: DataFrame, p: str, alpha: float) -> DataFrame:
+    """threshold: alpha * k / m of the largest rank k whose p is at most that; null where none is."""
+    by = ranked(df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("__n")), [], p, "__n")
+    line = (F.col("__below") + F.col("__n")) / F.col("__m") * alpha
+    return by.agg(F.max(F.when(F.col(p) <= line, line)).alias("threshold"))
+
+
+def reciprocal_rank(df: DataFrame, key: str, y: str, score: str, budgets: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
+    """Mean of 1 / rank over positives, by falling score in [0, 1], ties by key; positives in the first of each budget, and their share.
+
+    A row's rank is the count of larger scores and its place among equal ones; only equal scores meet.
+    """
+    by = ranked(df.groupBy(score).agg(F.count(F.lit(1)).alias("__n")), [], score, "__n").select(score, (F.col("__m") - F.col("__below") - F.col("__n")).alias("__above"))
+    r = df.join(by, score).withColumn("__r", F.col("__above") + F.row_number().over(Window.partitionBy(score).orderBy(key))).where(F.col(y) == 1)
+    n = [F.count_if(F.col("__r") <= b) for b in budgets]
+    return r.agg(F.avg(1.0 / F.col("__r")).alias("mrr"), *(c.alias(f"in_{b}") for b, c in zip(budgets, n)), *((c / F.count(F.lit(1))).alias(f"recall_{b}") for b, c in zip(budgets, n)))
 
 
 def robust_z(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """0.6745 (x - median) / MAD within keys; 0 where MAD vanishes."""
-    med = df.groupBy(*keys).agg(F.median(col).alias("med"))
-    d = df.join(med, keys)
-    mad = d.groupBy(*keys).agg(F.median(F.abs(F.col(col) - F.col("med"))).alias("mad"))
-    return d.join(mad, keys).withColumn("robust_z", F.when(F.col("mad") <= 1e-9, 0.0).otherwise(0.6745 * (F.col(col) - F.col("med")) / F.col("mad")))
+    """0.6745 (x - median) / MAD within keys; 0 where MAD vanishes.
+
+    Medians are taken over distinct values with their counts, so a key's buffer holds its distinct values; both come in two aggregates and one join.
+    """
+    by = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
+    med = by.groupBy(*keys).agg(F.percentile(col, 0.5, F.col("__n")).alias("__med"))
+    mad = by.join(med, keys).groupBy(*keys).agg(F.first("__med").alias("__med"), F.percentile(F.abs(F.col(col) - F.col("__med")), 0.5, F.col("__n")).alias("__mad"))
+    return df.join(mad, keys).withColumn("robust_z", F.when(F.col("__mad") <= 1e-9, 0.0).otherwise(0.6745 * (F.col(col) - F.col("__med")) / F.col("__mad"))).drop("__med", "__mad")
+
+
+def fleiss(df: DataFrame, item: str, rater: str, label: str, raters: int) -> DataFrame:
+    """Items that all raters labelled: shared_clips, share of full agreement and Fleiss' kappa, null where one label is all there is."""
+    c = df.groupBy(item, label).agg(F.count(F.lit(1)).alias("n"))
+    whole = c.groupBy(item).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count(F.lit(1)).alias("k")).where(F.col("t") == raters)
+    s = whole.agg(F.count(F.lit(1)).alias("shared_clips"), F.avg((F.col("k") == 1).cast("int")).alias("agreement"), F.avg((F.col("q") - raters) / (raters * (raters - 1))).alias("p"))
+    share = c.join(whole.select(item), item).groupBy(label).agg(F.sum("n").alias("n"))
+    e = share.agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), 2)).alias("pe"))
+    return s.crossJoin(F.broadcast(e)).select("shared_clips", "agreement", F.when(F.abs(1 - F.col("pe")) > 1e-12, (F.col("p") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+
+
+def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """(label, c, n): mean vector of each label; vectors are summed place by place, so only sums are shuffled."""
+    each = df.select(label, F.posexplode(vector).alias("__k", "__x")).groupBy(label, "__k").agg(F.avg(F.col("__x").cast("double")).alias("__m"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__m"))), lambda e: e["__m"]).alias("c"), F.max("n").alias("n"))
+
+
+def nearest(df: DataFrame, key: str, vector: str, labels: DataFrame, label: str) -> DataFrame:
+    """(key, centroid, dist): the nearest of labels(label, c), the first of equals. The centroids are one array in one row, so vectors are not shuffled."""
+    one = labels.agg(F.array_sort(F.collect_list(F.struct(label, "c"))).alias("__cs"))
+    dist = lambda c: F.sqrt(F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    all_ = F.transform("__cs", lambda e: F.struct(dist(e["c"]).alias("d"), e[label].alias("l")))
+    return df.join(F.broadcast(one)).select(key, F.array_min(all_).alias("__b")).select(key, F.col("__b.l").alias("centroid"), F.col("__b.d").alias("dist"))

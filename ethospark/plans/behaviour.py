@@ -117,19 +117,14 @@ def slice_bout_summary(spark, d):
     return r6(I.bout_metrics(bouts(spark, d), S, FPS), "latency_s", "time_s", "mean_bout_s", "per_minute")
 
 
-@register("padded_regions", BOUTS + " SELECT b.user_id, greatest(0, start_frame - 5) AS start_frame, least(60, end_frame + 5) AS end_frame FROM b WHERE greatest(0, start_frame - 5) <= least(60, end_frame + 5)")
-def padded_regions(spark, d):
-    return I.pad_intervals(bouts(spark, d).drop("mean_prob"), 5, F.lit(60))
-
-
 #: b, padded by 5 frames and clamped to the session's own frames.
 REGIONS = BOUTS + """, z AS (SELECT user_id, max(frame) AS last FROM f GROUP BY user_id),
 g AS (SELECT b.user_id, greatest(0, start_frame - 5) AS start_frame, least(last, end_frame + 5) AS end_frame FROM b JOIN z ON b.user_id IS NOT DISTINCT FROM z.user_id)"""
 
 
-@register("padded_regions_to_end", REGIONS + " SELECT * FROM g")
-def padded_regions_to_end(spark, d):
-    """padded_regions clamps every session to frame 60; here each has its own last frame."""
+@register("padded_regions", REGIONS + " SELECT * FROM g")
+def padded_regions(spark, d):
+    """Clamped to each session's own last frame."""
     f = frames(spark, d).withColumn("last", F.max("frame").over(Window.partitionBy(*S)))
     b = I.bouts_of_trace(f, [*S, "last"], "p", 0.5, 2, 3).drop("mean_prob")
     return I.pad_intervals(b, 5, F.col("last")).drop("last")
@@ -233,20 +228,13 @@ def reliability(spark, d):
     return r6(M.reliability(labelled(spark, d), "p", "y"), "conf", "acc")
 
 
-@register("best_threshold", "WITH " + LABELLED + """, t AS (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.75]) AS threshold), c AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn FROM l, t GROUP BY 1)
-SELECT threshold, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c ORDER BY 2 * tp / (2 * tp + fp + fn) DESC, threshold LIMIT 1""")
-def best_threshold(spark, d):
-    return r6(M.best_threshold(labelled(spark, d), [], "y", "p", [0.1, 0.25, 0.5, 0.75]), "f1")
-
-
 #: The 37 thresholds of the reference, 0.05 to 0.95.
 GRID = np.linspace(0.05, 0.95, 37).tolist()
 
 
-@register("best_threshold_fine", "WITH " + LABELLED + ", t AS (SELECT unnest([" + ", ".join(f"'{x!r}'::DOUBLE" for x in GRID) + """]) AS threshold), c AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn FROM l, t GROUP BY 1),
+@register("best_threshold", "WITH " + LABELLED + ", t AS (SELECT unnest([" + ", ".join(f"'{x!r}'::DOUBLE" for x in GRID) + """]) AS threshold), c AS (SELECT threshold, count(*) FILTER (y = 1 AND p >= threshold) AS tp, count(*) FILTER (y = 0 AND p >= threshold) AS fp, count(*) FILTER (y = 1 AND p < threshold) AS fn FROM l, t GROUP BY 1),
 s AS (SELECT threshold, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c) SELECT threshold, round(f1, 6) AS f1 FROM s ORDER BY s.f1 DESC, threshold LIMIT 1""")
-def best_threshold_fine(spark, d):
-    """best_threshold over the whole grid."""
+def best_threshold(spark, d):
     return r6(M.best_threshold(labelled(spark, d), [], "y", "p", GRID), "f1")
 
 
@@ -264,13 +252,11 @@ def cohen_kappa(spark, d):
     return r6(M.cohen_kappa(labelled(spark, d), [], "a", "b"), "po", "kappa")
 
 
-@register("benjamini_hochberg", """WITH t AS (SELECT c_custkey, (c_custkey * 7919 % 1000 + 1) / 2000.0::DOUBLE AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS r, count(*) OVER () AS m FROM t)
-SELECT c_custkey, round(least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS q FROM r WHERE p IS NOT NULL""")
+@register("benjamini_hochberg", """WITH t AS (SELECT c_custkey, (c_custkey * 7919 % 1000 + 1) / 2000.0::DOUBLE AS p FROM customer), r AS (SELECT *, row_number() OVER (ORDER BY p, c_custkey) AS r, count(*) OVER () AS m FROM t), q AS (SELECT c_custkey, p, least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
+SELECT c_custkey, round(min(q) OVER (PARTITION BY p), 4) AS q FROM q""")
 def benjamini_hochberg(spark, d):
-    # Equal p take equal q: the least over all later ranks reaches the last of them.
     t = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 1000 + 1) / 2000.0).alias("p"))
-    by = M.benjamini_hochberg(t.withColumn("family", F.lit(1)).withColumn("p", F.col("p")), ["family"], "p")
-    return by.groupBy("p").agg(F.max("q").alias("hi"), F.min("q").alias("lo")).join(t, "p").select("c_custkey", F.round("lo", 4).alias("q"))
+    return M.benjamini_hochberg(t, [], "p").select("c_custkey", F.round("q", 4).alias("q"))
 
 
 @register("robust_z", CTE + """, m AS (SELECT user_id, median(value) AS med FROM f GROUP BY user_id), a AS (SELECT f.user_id, median(abs(value - med)) AS mad FROM f JOIN m USING (user_id) GROUP BY f.user_id)
@@ -279,19 +265,10 @@ def robust_z(spark, d):
     return r6(M.robust_z(frames(spark, d), S, "value").select("event_id", "robust_z"), "robust_z")
 
 
-@register("zero_roster_bins", """WITH r AS (SELECT c_custkey AS subject FROM customer WHERE c_custkey < 200), b AS (SELECT unnest([0, 30, 60]) AS bin),
-e AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 30 * 30 AS bin FROM events)
-SELECT r.subject, b.bin, count(e.user_id) AS n FROM r CROSS JOIN b LEFT JOIN e ON e.user_id = r.subject AND e.bin = b.bin GROUP BY ALL""")
-def zero_roster_bins(spark, d):
-    roster = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("subject"), F.explode(F.array(*map(F.lit, (0, 30, 60)))).alias("bin"))
-    n = frames(spark, d).groupBy(F.col("user_id").alias("subject"), (F.floor(F.col("frame") / 30) * 30).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return roster.join(n, ["subject", "bin"], "left").select("subject", "bin", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@register("zero_roster_all_bins", CTE + """, b AS (SELECT unnest(range(0, coalesce(max(frame), 0) + 1, 30)) AS bin FROM f), e AS (SELECT user_id, frame // 30 * 30 AS bin FROM f)
+@register("zero_roster_bins", CTE + """, b AS (SELECT unnest(range(0, coalesce(max(frame), 0) + 1, 30)) AS bin FROM f), e AS (SELECT user_id, frame // 30 * 30 AS bin FROM f)
 SELECT c_custkey AS subject, b.bin::BIGINT AS bin, count(e.user_id) AS n FROM customer CROSS JOIN b LEFT JOIN e ON e.user_id = c_custkey AND e.bin = b.bin GROUP BY ALL""")
-def zero_roster_all_bins(spark, d):
-    """Every customer and every bin up to the last frame of the data; zero_roster_bins has the customers under 200 and three bins."""
+def zero_roster_bins(spark, d):
+    """Every customer and every bin up to the last frame of the data."""
     f = frames(spark, d).select("user_id", F.col("frame").cast("long").alias("frame"))
     last = F.broadcast(f.agg(F.coalesce(F.max("frame"), F.lit(0).cast("long")).alias("last")))
     roster = table(spark, d, "customer").select(F.col("c_custkey").alias("subject")).crossJoin(last).select("subject", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(30).cast("long"))).alias("bin"))
@@ -316,11 +293,16 @@ def anova_f(spark, d):
     return s.select(F.round(((F.col("ss") - F.col("s") ** 2 / F.col("n")) / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("f"))
 
 
-@register("feature_audit", "SELECT 'l_' || f AS feature, round(avg((v IS NULL)::INT), 6) AS nan_fraction, round(avg((v <> 0)::INT), 6) AS nonzero_fraction, round(stddev_samp(v), 6) AS std, stddev_samp(v) < 1e-12 AS dead, avg((v <> 0)::INT) < 0.05 AS weak FROM (SELECT 'discount' AS f, l_discount AS v FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) GROUP BY f")
+@register("feature_audit", """WITH v AS (SELECT 'discount' AS f, nullif(l_discount, 0.04) AS v FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem UNION ALL SELECT 'rare', CASE WHEN l_orderkey % 500 = 0 THEN l_tax END FROM lineitem UNION ALL SELECT 'flat', 3.0::DOUBLE FROM lineitem UNION ALL SELECT 'sparse', CASE WHEN l_orderkey % 40 = 0 THEN 1.0::DOUBLE ELSE 0.0 END FROM lineitem),
+a AS (SELECT f AS feature, avg((v IS NULL)::INT) AS nan_fraction, coalesce(avg((v <> 0)::INT), 0) AS nonzero_fraction, coalesce(stddev_samp(v), 0) AS std FROM v GROUP BY f) SELECT feature, round(nan_fraction, 6) AS nan_fraction, round(nonzero_fraction, 6) AS nonzero_fraction, round(std, 6) AS std, std < 1e-12 OR nan_fraction > 0.99 AS dead, NOT (std < 1e-12 OR nan_fraction > 0.99) AND nonzero_fraction < 0.05 AS weak FROM a""")
 def feature_audit(spark, d):
-    long = table(spark, d, "lineitem").select("l_discount", "l_quantity", "l_tax").unpivot([], ["l_discount", "l_quantity", "l_tax"], "feature", "v")
-    nz = F.avg((F.col("v") != 0).cast("double"))
-    return long.groupBy("feature").agg(F.round(F.avg(F.col("v").isNull().cast("double")), 6).alias("nan_fraction"), F.round(nz, 6).alias("nonzero_fraction"), F.round(F.stddev_samp("v"), 6).alias("std"), (F.stddev_samp("v") < 1e-12).alias("dead"), (nz < 0.05).alias("weak"))
+    """Shares are of the rows that have a value; dead: no spread or hardly a value; weak: not dead and hardly a value but 0."""
+    k = F.col("l_orderkey")
+    wide = table(spark, d, "lineitem").select(F.nullif("l_discount", F.lit(0.04)).alias("discount"), F.col("l_quantity").alias("quantity"), F.when(k % 500 == 0, F.col("l_tax")).alias("rare"), F.lit(3.0).alias("flat"), F.when(k % 40 == 0, 1.0).otherwise(0.0).alias("sparse"))
+    long = wide.unpivot([], ["discount", "quantity", "rare", "flat", "sparse"], "feature", "v")
+    a = long.groupBy("feature").agg(F.avg(F.col("v").isNull().cast("double")).alias("nan_fraction"), F.coalesce(F.avg((F.col("v") != 0).cast("double")), F.lit(0.0)).alias("nonzero_fraction"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
+    dead = (F.col("std") < 1e-12) | (F.col("nan_fraction") > 0.99)
+    return a.select("feature", *(F.round(c, 6).alias(c) for c in ("nan_fraction", "nonzero_fraction", "std")), dead.alias("dead"), (~dead & (F.col("nonzero_fraction") < 0.05)).alias("weak"))
 
 
 @register("cap_per_session", CTE + " SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM f) WHERE rn <= 5")
@@ -329,10 +311,9 @@ def cap_per_session(spark, d):
     return frames(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("user_id", "event_id")
 
 
-@register("reciprocal_rank", "WITH " + LABELLED + ", r AS (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r FROM l) SELECT round(avg(1.0::DOUBLE / r), 6) AS mrr, count(*) FILTER (r <= 50) AS in_50, count(*) FILTER (r <= 100) AS in_100 FROM r WHERE y = 1")
+@register("reciprocal_rank", "WITH " + LABELLED + ", r AS (SELECT y, row_number() OVER (ORDER BY p DESC, doc_id) AS r FROM l) SELECT round(avg(1.0::DOUBLE / r), 6) AS mrr, count(*) FILTER (r <= 50) AS in_50, count(*) FILTER (r <= 100) AS in_100, count(*) FILTER (r <= 200) AS in_200, round(count(*) FILTER (r <= 50) / count(*), 6) AS recall_50, round(count(*) FILTER (r <= 100) / count(*), 6) AS recall_100, round(count(*) FILTER (r <= 200) / count(*), 6) AS recall_200 FROM r WHERE y = 1")
 def reciprocal_rank(spark, d):
-    r = labelled(spark, d).withColumn("r", F.row_number().over(Window.orderBy(F.desc("p"), "doc_id"))).where("y = 1")
-    return r.agg(F.round(F.avg(1.0 / F.col("r")), 6).alias("mrr"), F.count_if(F.col("r") <= 50).alias("in_50"), F.count_if(F.col("r") <= 100).alias("in_100"))
+    return r6(M.reciprocal_rank(labelled(spark, d), "doc_id", "y", "p"), "mrr", "recall_50", "recall_100", "recall_200")
 
 
 @register("state_occupancy", CTE + " SELECT user_id, event_type, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM f GROUP BY user_id, event_type")
@@ -346,11 +327,11 @@ def probability_histogram(spark, d):
     return frames(spark, d).groupBy(F.least(F.floor(F.col("p") * 20), F.lit(19)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("review_gaps", CTE + ", g AS (SELECT epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM f) SELECT CASE WHEN gap > 3600 THEN 'break' WHEN gap < 60 THEN 'batch' ELSE 'timed' END AS kind, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1")
+@register("review_gaps", CTE + ", g AS (SELECT epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM f) SELECT CASE WHEN gap > 120 THEN 'break' WHEN gap < 0.05 THEN 'batch' ELSE 'timed' END AS kind, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1")
 def review_gaps(spark, d):
     us = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     g = frames(spark, d).withColumn("gap", us - F.lag(us).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("gap is not null")
-    return g.groupBy(F.when(F.col("gap") > 3600, "break").when(F.col("gap") < 60, "batch").otherwise("timed").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy(F.when(F.col("gap") > 120, "break").when(F.col("gap") < 0.05, "batch").otherwise("timed").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("upsert_labels", "SELECT doc_id, max_by(y, v) AS y FROM (SELECT doc_id, quality AS y, 0 AS v FROM labels UNION ALL SELECT doc_id, 1 - quality, 1 FROM labels WHERE doc_id % 5 = 0) GROUP BY doc_id")
@@ -363,16 +344,35 @@ def upsert_labels(spark, d):
 @register("nearest_center", BOUTS + SEEDS + """, q AS (SELECT t.user_id, t.r_start, b.start_frame, row_number() OVER (PARTITION BY t.user_id, t.r_start ORDER BY abs((start_frame + end_frame) / 2.0 - (r_start + r_end) / 2.0), start_frame) AS rn FROM t JOIN b USING (user_id))
 SELECT user_id, r_start, start_frame FROM q WHERE rn = 1""")
 def nearest_center(spark, d):
-    j = seeds(spark, d).join(bouts(spark, d), "user_id")
-    gap = F.abs((F.col("start_frame") + F.col("end_frame")) / 2 - (F.col("r_start") + F.col("r_end")) / 2)
-    return j.groupBy("user_id", "r_start").agg(F.min_by("start_frame", F.struct(gap, F.col("start_frame"))).alias("start_frame"))
+    return I.nearest_center(seeds(spark, d), bouts(spark, d), S).select("user_id", "r_start", "start_frame")
 
 
-@register("coactivity", CTE + """, a AS (SELECT a.event_type AS a, b.event_type AS b, count(DISTINCT a.user_id) AS n FROM f a JOIN f b ON a.user_id = b.user_id AND a.frame = b.frame + 1 AND a.event_type < b.event_type GROUP BY 1, 2) SELECT * FROM a""")
+@register("coactivity", WINDOWS + """, y AS (SELECT w.user_id, w.win, f.event_type, count(*) / 16.0 AS p FROM w JOIN f ON f.user_id = w.user_id AND f.frame BETWEEN w.win * 4 AND w.win * 4 + 15 GROUP BY ALL), t AS (SELECT count(DISTINCT (user_id, win)) AS t FROM y), a AS (SELECT * FROM y WHERE p >= 0.3)
+SELECT a.event_type AS a, b.event_type AS b, round(count(*) / any_value(t), 4) AS rate FROM a JOIN a b ON a.user_id = b.user_id AND a.win = b.win AND a.event_type < b.event_type, t GROUP BY 1, 2""")
 def coactivity(spark, d):
-    f = frames(spark, d)
-    a, b = f.select("user_id", "frame", F.col("event_type").alias("a")), f.select("user_id", (F.col("frame") + 1).alias("frame"), F.col("event_type").alias("b"))
-    return a.join(b, ["user_id", "frame"]).where("a < b").groupBy("a", "b").agg(F.countDistinct("user_id").alias("n"))
+    """Share of all segments in which two behaviours are both at 0.3 or more; a behaviour without a row has 0."""
+    y = W.hopping_windows(frames(spark, d).select("user_id", "frame", "event_type"), S, 16, 4).groupBy("user_id", "window", "event_type").agg((F.count(F.lit(1)) / 16.0).alias("p"))
+    t = y.select("user_id", "window").distinct().agg(F.count(F.lit(1)).alias("t"))
+    on = y.where("p >= 0.3").groupBy("user_id", "window").agg(F.collect_set("event_type").alias("s")).where(F.size("s") > 1)
+    pairs = on.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(F.broadcast(t)).select("a", "b", F.round(F.col("n") / F.col("t"), 4).alias("rate"))
+
+
+@register("confused_pairs", WINDOWS + """, y AS (SELECT w.user_id, w.win, f.event_type, count(*) AS n FROM w JOIN f ON f.user_id = w.user_id AND f.frame BETWEEN w.win * 4 AND w.win * 4 + 15 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, win ORDER BY n DESC, event_type) AS r FROM y), p AS (SELECT user_id, win, max(n) FILTER (r = 1) AS n1, coalesce(max(n) FILTER (r = 2), 0) AS n2, max(event_type) FILTER (r = 1) AS e1, max(event_type) FILTER (r = 2) AS e2 FROM k GROUP BY ALL)
+SELECT least(e1, e2) AS a, greatest(e1, e2) AS b, count(*) AS n FROM p WHERE (n1 - n2) / 16.0 < 0.2 GROUP BY 1, 2""")
+def confused_pairs(spark, d):
+    """Segments whose two likeliest behaviours are less than 0.2 apart, by pair."""
+    y = W.hopping_windows(frames(spark, d).select("user_id", "frame", "event_type"), S, 16, 4).groupBy("user_id", "window", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    top = y.groupBy("user_id", "window").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "event_type"))), 1, 2).alias("t"))
+    first, second = (F.element_at("t", k) for k in (1, 2))
+    two = top.where(F.size("t") > 1).select((second["m"] - first["m"]).alias("gap"), F.least(first["event_type"], second["event_type"]).alias("a"), F.greatest(first["event_type"], second["event_type"]).alias("b"))
+    return two.where(F.col("gap") / 16 < 0.2).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("overlap_half_open", BOUTS + SEEDS + " SELECT user_id, start_frame, end_frame FROM b WHERE EXISTS (SELECT 1 FROM t WHERE t.user_id = b.user_id AND start_frame < r_end AND end_frame > r_start)")
+def overlap_half_open(spark, d):
+    """Feature windows [start, end) that share a frame with a seed [start, end)."""
+    return I.overlap_join(bouts(spark, d).drop("mean_prob"), seeds(spark, d), S, "left_semi", 16, half_open=True)
 
 
 @register("region_membership", "WITH x AS (SELECT event_id, value AS x, (event_id % 100)::DOUBLE AS y FROM events) SELECT event_id, x BETWEEN 10 AND 60 AND y BETWEEN 20 AND 70 AS in_rect, sqrt(pow(x - 50, 2) + pow(y - 50, 2)) <= 30 AS in_circle, round(CASE WHEN least(x - 10, 60 - x, y - 20, 70 - y) >= 0 THEN least(x - 10, 60 - x, y - 20, 70 - y) ELSE -sqrt(pow(greatest(10 - x, 0, x - 60), 2) + pow(greatest(20 - y, 0, y - 70), 2)) END, 6) AS signed, round(least(sqrt(x * x + y * y), sqrt(pow(x - 100, 2) + y * y)), 6) AS corner FROM x")
@@ -391,11 +391,9 @@ def rollup_counts(spark, d):
     return table(spark, d, "events").withColumn("grp", F.col("user_id") % 3).rollup("event_type", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("nearest_centroid", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label AS c, k, avg(x) AS m FROM e GROUP BY 1, 2),
+@register("nearest_centroid", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label AS c, k, avg(x) AS m FROM e WHERE label <> 0 GROUP BY 1, 2),
 q AS (SELECT vec_id, c, sum(pow(x - m, 2)) AS d FROM e JOIN c USING (k) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS rn FROM q) SELECT vec_id, c AS centroid, round(sqrt(d), 5) AS dist FROM r WHERE rn = 1""")
 def nearest_centroid(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("k", "x"))
-    # One row a centroid and dimension: labels, not vectors, bound this side.
-    c = e.groupBy(F.col("label").alias("c"), "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    q = e.join(c, "k").groupBy("vec_id", "c").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("d"))
-    return q.groupBy("vec_id").agg(F.min(F.struct("d", "c")).alias("b")).select("vec_id", F.col("b.c").alias("centroid"), F.round(F.sqrt("b.d"), 5).alias("dist"))
+    """Label 0 stands for noise, which has no centroid."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return M.nearest(e, "vec_id", "v", M.centroids(e.where("label <> 0"), "label", "v").select("label", "c"), "label").withColumn("dist", F.round("dist", 5))

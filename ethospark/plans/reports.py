@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import intervals as I
-from .behaviour import BOUTS, CTE, FPS, LABELLED, REGIONS, S, bouts, frames, labelled, padded_regions_to_end, r6, table
+from .behaviour import BOUTS, CTE, FPS, LABELLED, REGIONS, S, bouts, frames, labelled, padded_regions, r6, table
 from .registry import register
 
 SHARES = CTE + """, k AS (SELECT DISTINCT event_type FROM f), u AS (SELECT user_id, count(*) AS t FROM f GROUP BY 1), c AS (SELECT user_id, event_type, count(*) AS n FROM f GROUP BY 1, 2),
@@ -67,18 +67,10 @@ def peer_competition(spark, d):
     return r6(c.select("user_id", "peer", "mean_peer", "support", gap.alias("margin"), (1 - F.least(F.abs(gap), F.lit(1.0))).alias("uncertainty")), "peer", "mean_peer", "margin", "uncertainty")
 
 
-@register("merged_regions", BOUTS + """, g AS (SELECT user_id, greatest(0, start_frame - 5) AS s, least(60, end_frame + 5) AS e FROM b WHERE greatest(0, start_frame - 5) <= least(60, end_frame + 5)),
-m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM g),
-j AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(s) AS start_frame, max(e) AS end_frame FROM j GROUP BY user_id, k""")
-def merged_regions(spark, d):
-    return I.merge_intervals(I.pad_intervals(bouts(spark, d).drop("mean_prob"), 5, F.lit(60)), S, 1, 1)
-
-
-@register("merged_regions_to_end", REGIONS + """, m AS (SELECT *, CASE WHEN start_frame <= max(end_frame) OVER (PARTITION BY user_id ORDER BY start_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM g),
+@register("merged_regions", REGIONS + """, m AS (SELECT *, CASE WHEN start_frame <= max(end_frame) OVER (PARTITION BY user_id ORDER BY start_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS nw FROM g),
 j AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY start_frame, end_frame ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame FROM j GROUP BY user_id, k""")
-def merged_regions_to_end(spark, d):
-    """merged_regions over the whole of each session."""
-    return I.merge_intervals(padded_regions_to_end(spark, d), S, 1, 1)
+def merged_regions(spark, d):
+    return I.merge_intervals(padded_regions(spark, d), S, 1, 1)
 
 
 @register("negative_runs", CTE + """, o AS (SELECT *, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS k FROM f WHERE p < 0.3)

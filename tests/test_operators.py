@@ -113,7 +113,7 @@ def test_zero_roster_has_every_customer_and_bin(spark, tmp_path):
     rows = [(k, 500, "view", 1.0, k) for k in range(125)] + [(900, 3, "view", 1.0, 1)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
     spark.createDataFrame([(3,), (500,), (700,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
-    got = {(r["subject"], r["bin"]): r["n"] for r in behaviour.zero_roster_all_bins(spark, str(tmp_path)).collect()}
+    got = {(r["subject"], r["bin"]): r["n"] for r in behaviour.zero_roster_bins(spark, str(tmp_path)).collect()}
     want = {(s, b): 0 for s in (3, 500, 700) for b in (0, 30, 60, 90, 120)} | {(500, b): 30 for b in (0, 30, 60, 90)} | {(500, 120): 5, (3, 0): 1}
     assert got == want
 
@@ -127,8 +127,8 @@ def test_regions_reach_each_sessions_end(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
     d = str(tmp_path)
     padded = [(1, 5, 19), (1, 19, 32), (1, 195, 210), (1, 291, 299), (2, 0, 19)]
-    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in behaviour.padded_regions_to_end(spark, d).collect()) == padded
-    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in reports.merged_regions_to_end(spark, d).collect()) == [(1, 5, 32), *padded[2:]]
+    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in behaviour.padded_regions(spark, d).collect()) == padded
+    assert sorted((r["user_id"], r["start_frame"], r["end_frame"]) for r in reports.merged_regions(spark, d).collect()) == [(1, 5, 32), *padded[2:]]
 
 
 def test_best_threshold_tries_37(spark, tmp_path):
@@ -138,5 +138,5 @@ def test_best_threshold_tries_37(spark, tmp_path):
     chars = [(k, "s", 10 * k) for k in range(1, 200)]
     spark.createDataFrame(chars, "doc_id long, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, int(n > 690)) for k, _, n in chars], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = behaviour.best_threshold_fine(spark, str(tmp_path)).first()
+    got = behaviour.best_threshold(spark, str(tmp_path)).first()
     assert (round(got["threshold"], 9), got["f1"]) == (0.35, 1.0)
