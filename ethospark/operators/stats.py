@@ -202,12 +202,11 @@ def drawn(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("double") / 2.0**48
 
 
-def permutation_test(df: DataFrame, unit: str, group: str, cell: list[str], value: str, draws: int, seed: str) -> DataFrame:
-    """(cell, diff, p) of two groups' units: |mean of one - mean of the other| with every unit in every cell (absent: 0), p the share of draws at least as far.
+def permutation_test(df: DataFrame, units: DataFrame, unit: str, group: str, cell: list[str], value: str, draws: int, seed: str) -> DataFrame:
+    """(cell, diff, p) of two groups' units: |mean of one - mean of the other| with every unit of units(unit, group) in every cell (absent: 0), p the share of draws at least as far.
 
     A draw puts units in order of a hash; the first n of them are the first group. Cells do not meet: a draw's sums are by cell.
     """
-    units = df.select(unit, group).distinct()
     n = units.groupBy(group).count().orderBy(group).collect()
     if len(n) != 2:
         raise ValueError("two groups are needed")

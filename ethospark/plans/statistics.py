@@ -180,8 +180,9 @@ SELECT o.src, o.dst, round(any_value(o.d), 6) AS diff, round(count(*) FILTER (p.
 def transition_permutations(spark, d):
     from ..operators import motifs
 
-    m = motifs.normalize_rows(motifs.transitions(frames(spark, d), S, "event_type", ["frame"]), S).withColumn("g", F.col("user_id") % 2)
-    return r6(T.permutation_test(m, "user_id", "g", ["src", "dst"], "p", 40, "5"), "diff", "p")
+    m = motifs.normalize_rows(motifs.transitions(frames(spark, d), S, "event_type", ["frame"]), S)
+    units = m.select("user_id", (F.col("user_id") % 2).alias("g")).distinct()
+    return r6(T.permutation_test(m, units, "user_id", "g", ["src", "dst"], "p", 40, "5"), "diff", "p")
 
 
 MOTIFS = CTE + ", w AS (SELECT user_id, event_type AS a, lead(event_type) OVER u AS b, lead(event_type, 2) OVER u AS c FROM f WINDOW u AS (PARTITION BY user_id ORDER BY frame)), mo AS (SELECT user_id, a || '>' || b || '>' || c AS motif, count(*) AS n FROM w WHERE c IS NOT NULL AND NOT (a = b AND b = c) GROUP BY ALL)"
@@ -205,10 +206,10 @@ def motif_group_comparison(spark, d):
     """The 15 motifs, of the 100 most frequent, whose group means differ most, with permutation p."""
     n = motif_counts(spark, d)
     top = n.groupBy("motif").agg(F.sum("n").alias("t")).where("t >= 2").orderBy(F.desc("t"), "motif").limit(100).select("motif")
-    # Every session is a unit, also one without a candidate motif: its cell value is 0.
+    # Every session is a unit, also one without a candidate motif.
     m = n.join(F.broadcast(top), "motif").select("user_id", "motif", F.col("n").cast("double").alias("v"))
-    every = frames(spark, d).select("user_id").distinct().select("user_id", F.lit(None).cast("string").alias("motif"), F.lit(0.0).alias("v"))
-    out = T.permutation_test(m.unionByName(every).withColumn("g", F.col("user_id") % 2), "user_id", "g", ["motif"], "v", 20, "9").where("motif is not null")
+    units = frames(spark, d).select("user_id", (F.col("user_id") % 2).alias("g")).distinct()
+    out = T.permutation_test(m, units, "user_id", "g", ["motif"], "v", 20, "9")
     return r6(out.orderBy(F.desc(F.round("diff", 9)), "motif").limit(15), "diff", "p")
 
 
