@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from math import exp, expm1, log1p
 
 import numpy as np
@@ -56,33 +57,36 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 def fit(texts: list[str | None], toxic: list[int], prior: float) -> tuple[np.ndarray, float]:
     """(weights, bias). prior: the share of toxic documents the model is for; the sample's own share may differ."""
     vocab: dict[str, int] = {}
+    each: list[list[int]] = []
+    counts = np.zeros(1 << BITS, np.int64)
     word_at, sent_at, doc_at = array("i"), array("i"), array("i")
     n_sent = 0
     for d, text in enumerate(texts):
-        lower = (text or "").lower()
+        lower, seen = (text or "").lower(), set()
         for a, b in sentences(lower):
             found = {vocab.setdefault(w, len(vocab)) for w in WORD.findall(lower, a, b)}
             word_at.extend(found)
             sent_at.extend(array("i", [n_sent]) * len(found))
             doc_at.append(d)
+            seen |= found
             n_sent += 1
-    each = [slots(w) for w in vocab]
+        each += map(slots, islice(vocab, len(each), None))
+        counts[list({s for w in seen for s in each[w]})] += 1
     word_of = np.repeat(np.arange(len(vocab)), [len(x) for x in each])
     used, slot = np.unique(np.array([s for x in each for s in x], np.int64), return_inverse=True)
-    slot_list = np.split(slot, np.cumsum([len(x) for x in each])[:-1])
-    docs_of = np.zeros(len(used), np.int64)
-    word_at, sent_at, doc_at = (np.array(x, np.int64) for x in (word_at, sent_at, doc_at))
+    docs_of = counts[used]
+    del each, counts
     y, n = np.array(toxic, float), len(texts)
-    pair = np.unique(doc_at[sent_at] * len(vocab) + word_at)
-    for d, words in zip(np.unique(pair // len(vocab)), np.split(pair % len(vocab), np.flatnonzero(np.diff(pair // len(vocab))) + 1), strict=False):
-        starts = np.concatenate([slot_list[w] for w in words])
-        docs_of[np.unique(starts)] += 1
-    del pair, slot_list, each
+    # Views of the lists: places are kept as 32-bit numbers until those of unused words are gone.
+    word_at, sent_at, doc_at = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (word_at, sent_at, doc_at))
+    doc_at = doc_at.astype(np.int64)
     kept = docs_of >= MIN_DOCS
     word_of, slot = word_of[kept[slot]], slot[kept[slot]]
     told = np.zeros(len(vocab), bool)
     told[word_of] = True
-    word_at, sent_at = word_at[told[word_at]], sent_at[told[word_at]]
+    on = told[word_at]
+    word_at, sent_at = word_at[on].astype(np.int64), sent_at[on].astype(np.int64)
+    del on
     weight = np.where(y > 0, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9)) / n
     w, bias = np.zeros(len(used)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
