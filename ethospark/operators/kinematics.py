@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import part_name
+from . import windows as W
 
 #: Names a part goes by, best first.
 NOSE, TAIL = ("nose", "snout", "head"), ("tail_base", "tailbase", "tail")
@@ -202,12 +203,7 @@ def rhythm(df: DataFrame, keys: list[str], col: str, fps: float, window: int, ou
 def periodicity(windows: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Largest non-constant Fourier magnitude of each window, order by pos; 0 under 8 rows or for a variance of 1e-10 at most.
 
-    The transform of a window of n rows is n / 2 pairs of sums, taken in one aggregate over the positions; no Python.
+    No Python: a window is one array.
     """
-    n, v, mean = F.size("__v"), F.col("__v"), F.aggregate("__v", F.lit(0.0), lambda s, e: s + e) / F.size("__v")
     rows = windows.groupBy(*keys, "window").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(col).cast("double").alias("x")))), lambda e: e["x"]).alias("__v"))
-    rows = rows.withColumn("__c", F.transform("__v", lambda e: e - mean))
-    part = lambda k, f: F.aggregate(F.transform("__c", lambda e, i: e * f(2 * np.pi * k * i / n)), F.lit(0.0), lambda s, e: s + e)
-    size = F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), lambda k: F.hypot(part(k, F.cos), part(k, F.sin)))
-    var = F.aggregate("__c", F.lit(0.0), lambda s, e: s + e * e) / n
-    return rows.select(*keys, "window", F.when((n < 8) | (var <= 1e-10), 0.0).otherwise(F.array_max(size)).alias(f"{col}_periodicity"))
+    return rows.select(*keys, "window", W.periodicity(F.col("__v")).alias(f"{col}_periodicity"))

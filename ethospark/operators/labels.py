@@ -160,3 +160,10 @@ def _all(cond, tests: list) -> Column:
     for t in tests[1:]:
         out = out & cond(t)
     return out
+
+
+def config_hash(settings: Column) -> Column:
+    """16 hex digits of the SHA-256 of a map of names to JSON values, written compactly with its names in order."""
+    pairs = F.array_sort(F.map_entries(settings))
+    body = F.array_join(F.transform(pairs, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    return F.substring(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), 1, 16)

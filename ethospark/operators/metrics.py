@@ -37,6 +37,14 @@ def average_precision(df: DataFrame, keys: list[str], y: str, score: str) -> Dat
     return n.join(p, [*keys, score]).groupBy(*keys).agg((F.sum(F.col("__p") * F.col("__tp") / F.col("__k")) / F.nullif(F.sum("__p"), F.lit(0))).alias("ap"))
 
 
+def pr_curve(df: DataFrame, y: str, score: str) -> DataFrame:
+    """threshold, precision and recall at each distinct score in [0, 1]."""
+    by = df.groupBy(score).agg(F.sum(y).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    n = ranked(by, [], score, "__n").select(score, (F.col("__m") - F.col("__below")).alias("__k"))
+    p = ranked(by, [], score, "__p").select(score, (F.col("__m") - F.col("__below")).alias("__tp"), F.col("__m").alias("__all"))
+    return n.join(p, score).select(F.col(score).alias("threshold"), (F.col("__tp") / F.col("__k")).alias("precision"), (F.col("__tp") / F.nullif("__all", F.lit(0))).alias("recall"))
+
+
 def calibration(df: DataFrame, keys: list[str], y: str, p: str, bins: int = 10) -> DataFrame:
     """Right-closed bins; expected and maximum calibration error and Brier score."""
     b = df.withColumn("__b", F.greatest(F.ceil(F.col(p) * bins) - 1, F.lit(0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("behaviour", "reports", "poses", "ranking", "dense", "statistics", "labels", "models")
+MODULES = ("behaviour", "reports", "poses", "ranking", "dense", "statistics", "labels", "models", "summaries")
 
 
 def load() -> None:

@@ -44,9 +44,9 @@ def chunk_trace(spark, d):
     return out.withColumn("winner", F.first("behavior").over(w))
 
 
-@register("dense_chunks", CHUNKS + " SELECT user_id, chunk, behavior, round(round(prob, 9), 7) AS prob, winner FROM wn")
+@register("dense_chunks", CHUNKS + " SELECT user_id, chunk, behavior, round(prob, 9) AS prob, winner FROM wn")
 def dense_chunks(spark, d):
-    return chunk_trace(spark, d).select("user_id", "chunk", "behavior", F.round("prob", 7).alias("prob"), "winner")
+    return chunk_trace(spark, d).select("user_id", "chunk", "behavior", "prob", "winner")
 
 
 @register("dense_winners", CHUNKS + f", e AS (SELECT wn.user_id, winner, least(chunk * {STEP} + {STEP}, len.n) - chunk * {STEP} AS k FROM wn JOIN len USING (user_id) WHERE behavior = winner) SELECT user_id, winner, sum(k)::BIGINT AS frames, round(sum(k) / sum(sum(k)) OVER (PARTITION BY user_id), 6) AS share FROM e GROUP BY user_id, winner")

@@ -125,13 +125,13 @@ BALANCED = CTE + ", q AS (SELECT user_id, frame // 10 AS j, avg(value) - 48 AS v
 
 
 @register("clustered_means", BALANCED + """, c AS (SELECT user_id % 3 AS grp, user_id, count(*) AS n, avg(v) AS m, sum(v * v) - sum(v) * sum(v) / count(*) AS w FROM q GROUP BY ALL), g AS (SELECT grp, count(*) AS k, avg(m) AS mu, 4 * sum(w) / 4 / (count(*) * 3) AS msw, 4 * var_samp(m) AS msb, sum(w) + 4 * var_samp(m) * (count(*) - 1) AS sst FROM c WHERE n = 4 GROUP BY grp)
-SELECT grp, k AS n_clusters, round(mu, 5) AS estimate, round(CASE WHEN msb > msw THEN sqrt(msb / (4 * k)) ELSE sqrt(sst / (4 * k - 1) / (4 * k)) END, 5) AS se, round(CASE WHEN msb > msw THEN (msb - msw) / 4 / ((msb - msw) / 4 + msw) ELSE 0 END, 4) AS icc, (k - 1)::DOUBLE AS df FROM g""")
+SELECT grp, k AS n_clusters, round(mu, 8) AS estimate, round(CASE WHEN msb > msw THEN sqrt(msb / (4 * k)) ELSE sqrt(sst / (4 * k - 1) / (4 * k)) END, 5) AS se, round(CASE WHEN msb > msw THEN (msb - msw) / 4 / ((msb - msw) / 4 + msw) ELSE 0 END, 4) AS icc, (k - 1)::DOUBLE AS df FROM g""")
 def clustered_means(spark, d):
     """Sessions of four tens of frames each: a balanced design, where REML is the analysis of variance, which the SQL has."""
     q = frames(spark, d).where("frame < 40").groupBy("user_id", F.floor(F.col("frame") / 10).alias("j")).agg((F.avg("value") - 48).alias("v"))
     q = q.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where("n = 4").withColumn("grp", F.col("user_id") % 3)
     out = T.clustered_mean(q, ["grp"], "v", "user_id")
-    return out.select("grp", F.col("n_clusters").cast("long").alias("n_clusters"), F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"), F.round("icc", 4).alias("icc"), F.round("df", 4).alias("df"))
+    return out.select("grp", F.col("n_clusters").cast("long").alias("n_clusters"), F.round("estimate", 8).alias("estimate"), F.round("se", 5).alias("se"), F.round("icc", 4).alias("icc"), F.round("df", 4).alias("df"))
 
 
 @register("sign_flips", """WITH m AS (SELECT n_regionkey AS r, avg(c_acctbal) - 4400 AS m FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), f AS (SELECT k.k, CASE WHEN k.k & (1 << r) <> 0 THEN m ELSE -m END AS v FROM m CROSS JOIN (SELECT unnest(range(0, 32)) AS k) k), t AS (SELECT k, avg(v) / (stddev_samp(v) / sqrt(5)) AS t FROM f GROUP BY k)
