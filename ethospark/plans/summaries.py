@@ -16,12 +16,12 @@ bd AS (SELECT *, greatest(1, least(n // 2, round_even(0.25 * n, 0))) AS band FRO
 
 
 @register("segment_table", _SEG + """ SELECT 'seg_' || b.user_id || '_' || min(frame) || '_' || max(frame) AS segment_id, b.user_id, min(frame) AS start_frame, max(frame) AS end_frame, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std, round(median(value), 6) AS value_median, round(max(value), 6) AS value_max, round(quantile_cont(value, 0.1), 6) AS value_p10, round(quantile_cont(value, 0.9), 6) AS value_p90, round(avg(value * value), 5) AS value_energy, round(any_value(pk.m), 5) AS value_periodicity,
-round(regr_slope(value, pos), 6) AS value_trend, round(avg(value) FILTER (pos >= n - band) - avg(value) FILTER (pos < band), 6) AS value_delta, round(avg(p), 8) AS p_mean FROM bd b JOIN pk ON pk.user_id = b.user_id AND pk.w = b.w GROUP BY b.user_id, b.w""")
+round(regr_slope(value, pos), 6) AS value_trend, round(avg(value) FILTER (pos >= n - band) - avg(value) FILTER (pos < band), 6) AS value_delta, round(avg(p), 11) AS p_mean FROM bd b JOIN pk ON pk.user_id = b.user_id AND pk.w = b.w GROUP BY b.user_id, b.w""")
 def segment_table(spark, d):
     """Windows of 64 frames every 16; sessions with fewer are one segment."""
     out = W.segment_table(frames(spark, d).select("user_id", "frame", "value", "p"), S, ["value", "p"], 64, 16)
     digits = {"energy": 5, "periodicity": 5}
-    return out.select("segment_id", "user_id", "start_frame", "end_frame", *(F.round(c, digits.get(c[6:], 6)).alias(c) for c in out.columns if c.startswith("value_")), F.round("p_mean", 8).alias("p_mean"))
+    return out.select("segment_id", "user_id", "start_frame", "end_frame", *(F.round(c, digits.get(c[6:], 6)).alias(c) for c in out.columns if c.startswith("value_")), F.round("p_mean", 11).alias("p_mean"))
 
 
 @register("zscore_stats", CTE + " SELECT user_id, round(avg(value), 6) AS mean, round(coalesce(nullif(stddev_samp(value), 0), 1), 6) AS sd, count(*) AS n FROM f GROUP BY user_id")
@@ -93,10 +93,10 @@ def merged_labelled(spark, d):
     return table(spark, d, "events").join(F.broadcast(m), "event_type").select("event_id", "label", F.round("value", 6).alias("value"))
 
 
-@register("subject_behavior_sums", CTE + ", b AS (SELECT user_id % 50 AS subject, event_type AS behavior, count(*) AS n, sum(value) AS t FROM f GROUP BY user_id, event_type) SELECT subject, behavior, sum(n)::BIGINT AS n, round(sum(t), 4) AS time, round(sum(t) / sum(n), 6) AS mean_bout FROM b GROUP BY ALL")
+@register("subject_behavior_sums", CTE + ", b AS (SELECT user_id % 50 AS subject, event_type AS behavior, count(*) AS n, sum(value) AS t FROM f GROUP BY user_id, event_type) SELECT subject, behavior, sum(n)::BIGINT AS n, round(sum(t), 4) AS time, round(sum(t) / sum(n), 9) AS mean_bout FROM b GROUP BY ALL")
 def subject_behavior_sums(spark, d):
     b = frames(spark, d).groupBy((F.col("user_id") % 50).alias("subject"), F.col("event_type").alias("behavior")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("t"))
-    return b.select("subject", "behavior", "n", F.round("t", 4).alias("time"), F.round(F.col("t") / F.col("n"), 6).alias("mean_bout"))
+    return b.select("subject", "behavior", "n", F.round("t", 4).alias("time"), F.round(F.col("t") / F.col("n"), 9).alias("mean_bout"))
 
 
 @register("pooled_effort", CTE + ", g AS (SELECT epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id)) AS gap FROM f) SELECT count(*) AS n, round(median(gap), 5) AS median_s, round(quantile_cont(gap, 0.75), 5) AS p75_s, round(sum(gap) / 3600, 6) AS hours, round(3600 / median(gap), 4) AS clips_per_hour FROM g WHERE gap BETWEEN 0.05 AND 120")
