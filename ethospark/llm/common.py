@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-#: A side of at most this many narrow rows (ids, counts, thresholds; about 100 bytes each) may be broadcast.
-BROADCAST_ROWS = 50_000
+#: A written side of at most this many rows and bytes of Parquet may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +39,16 @@ def remove_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Size of the files of a materialized table."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}]
+    return sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a materialized narrow table when its counted rows are within limit; otherwise leave the join to a shuffle, where AQE splits skew."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """Broadcast a materialized table when its counted rows and its bytes are within bounds; otherwise leave the join to a shuffle, where AQE splits skew."""
+    return F.broadcast(df) if df.count() <= limit and written_bytes(df) <= BROADCAST_BYTES else df
 
 
 def join_salted(rows: DataFrame, keyed: DataFrame, key: str, salts: int, spread: F.Column) -> DataFrame:

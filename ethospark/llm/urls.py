@@ -111,11 +111,14 @@ def mine(labelled: DataFrame) -> DataFrame:
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, fired, decided, confidence) for urls on which a rule fires; the most confident, then the best supported rule decides."""
+    """(key, fired, decided, confidence) for urls(key, url) on which a rule fires; the most confident, then the best supported rule decides.
+
+    A url's tokens go by its key, which is short: a row for each token must not carry a url of any length.
+    """
     index = materialize(rules.select(F.explode("items").alias("token"), "rule", "n", "confidence", "support", "verdict", F.array_join("items", " ").alias("fired")), "url-index")
-    found = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(broadcast_if_small(index), "token")
-    whole = found.groupBy("url", "rule").agg(F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("n", "confidence", "support", "verdict", "fired"))).where("k = n")
-    return whole.groupBy("url").agg(F.max(F.struct("confidence", "support", "fired", "verdict")).alias("top")).select("url", "top.fired", F.col("top.verdict").alias("decided"), "top.confidence")
+    found = urls.select("key", F.explode(tokens(F.col("url"))).alias("token")).join(broadcast_if_small(index), "token")
+    whole = found.groupBy("key", "rule").agg(F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("n", "confidence", "support", "verdict", "fired"))).where("k = n")
+    return whole.groupBy("key").agg(F.max(F.struct("confidence", "support", "fired", "verdict")).alias("top")).select("key", "top.fired", F.col("top.verdict").alias("decided"), "top.confidence")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -129,11 +132,11 @@ def judge(pages: DataFrame, labels: DataFrame, listed_rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, fired (the association rule that decided, if any) and its confidence for each page."""
     host, path = host_and_path(F.col("url"))
     name, verdict = listed(host, path, listed_rules)
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("listed"))
+    rows = pages.select("page_id", "url", F.md5(F.col("url").cast("binary")).alias("key"), host.alias("host"), path.alias("path"), name.alias("rule"), verdict.alias("listed"))
     rules = mine(labelled_urls(pages, labels))
     # A fixed number of partitions: the urls are small, but each meets many rules, so they must not be put together in one task.
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    urls = rows.where("listed is null and url is not null").select("url").repartition(parts, "url").distinct()
-    out = join_salted(rows, match(urls, rules), "url", SALTS, F.coalesce(F.col("page_id"), F.lit(0)))
+    urls = rows.where("listed is null and url is not null").select("key", "url").repartition(parts, "key").dropDuplicates(["key"])
+    out = join_salted(rows.drop("url"), match(urls, rules), "key", SALTS, F.coalesce(F.col("page_id"), F.lit(0)))
     free = F.col("listed").isNull()
     return out.select("page_id", "host", "path", "rule", F.coalesce(F.col("listed"), F.col("decided"), F.lit("allow")).alias("verdict"), F.when(free, F.col("fired")).alias("fired"), F.when(free, F.col("confidence")).alias("confidence"))
