@@ -28,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import first_by
+
 BITS = 18
 SAMPLE, SAMPLE_CHARS = 4000, 16_000_000
 STEPS = 300
@@ -147,7 +149,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
         return None, 0.0
     chosen = None
     for kind in (0, 1):
-        some = may.where((F.col("toxic") > 0) == bool(kind)).select("doc_id", F.lit(kind).alias("y")).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample)
+        h = F.xxhash64("doc_id", F.lit(4))
+        some = may.where((F.col("toxic") > 0) == bool(kind)).where(first_by(h, sample, counts[kind])).select("doc_id", F.lit(kind).alias("y")).orderBy(h, "doc_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     # At most 2 * sample ids are broadcast; repeated rows of a document teach once.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
