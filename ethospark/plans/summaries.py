@@ -9,7 +9,7 @@ from ..operators import intervals as I, labels as L, metrics as M, ranking as R,
 from .behaviour import BOUTS, CTE, FPS, LABELLED, S, bouts, frames, labelled, r6, table
 from .ranking import SEGMENTS, competing, segments
 from .registry import register
-from .statistics import CELLS, LONG, cells, features
+from .statistics import CELLS, LONG, cells
 
 _SEG = CTE + """, nn AS (SELECT user_id, count(*) AS n FROM f GROUP BY 1), wi AS (SELECT user_id, n, unnest(CASE WHEN n < 64 THEN [0::BIGINT] ELSE range(0, (n - 64) // 16 + 1) END) AS w FROM nn), xx AS (SELECT wi.user_id, wi.w, least(wi.n, 64) AS n, f.frame, f.frame - wi.w * 16 AS pos, f.value, f.p FROM wi JOIN f ON f.user_id = wi.user_id AND f.frame BETWEEN wi.w * 16 AND wi.w * 16 + 63),
 bd AS (SELECT *, greatest(1, least(n // 2, round_even(0.25 * n, 0))) AS band FROM xx), cc AS (SELECT user_id, w, pos, n, value - avg(value) OVER (PARTITION BY user_id, w) AS c FROM xx), kk AS (SELECT user_id, w, k, sqrt(pow(sum(c * cos(2 * pi() * k * pos / n)), 2) + pow(sum(c * sin(2 * pi() * k * pos / n)), 2)) AS m FROM cc, (SELECT unnest(range(1, 33)) AS k) WHERE k <= n // 2 GROUP BY user_id, w, k), pk AS (SELECT user_id, w, max(m) AS m FROM kk GROUP BY user_id, w)"""
