@@ -37,24 +37,27 @@ def remap(labels: DataFrame, segments: DataFrame, keys: list[str], key: str) ->
     its very interval, else that of most overlap, then of nearest centre, then the first; a label shorter than a window is taken whole. What
     meets no segment keeps its id.
     """
-    rest = [c for c in labels.columns if c not in (*keys, "start_frame", "end_frame")]
+    cols = labels.columns
+    rest = [c for c in cols if c not in (*keys, "start_frame", "end_frame")]
     there = segments.select(F.col(key).alias("id"), F.lit(True).alias("__there"))
     size = F.broadcast(segments.agg(F.floor(F.percentile(F.col("end_frame") - F.col("start_frame") + 1, 0.5)).cast("long").alias("__w")))
-    l = labels.join(there, "id", "left").withColumn("__n", F.monotonically_increasing_id())
+    l = labels.join(there, "id", "left")
     exact = l.where("__there").select(*rest, F.col("id").alias(key))
-    free = l.where("__there is null").join(size)
+    # A label is known by its own values, equal ones by their count: numbers given in passing change where a plan is run twice.
+    free = l.where("__there is null").groupBy(*cols).agg(F.count(F.lit(1)).cast("int").alias("__c")).withColumn("__l", F.struct(*cols, "__c")).select(*cols, "__l").join(size)
     lo, hi = F.least("start_frame", "end_frame"), F.greatest("start_frame", "end_frame")
     n = F.floor((hi - lo + 1) / F.col("__w")).cast("int")
     parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct((lo + i * F.col("__w")).alias("a"), (lo + i * F.col("__w") + F.col("__w") - 1).alias("z")))).otherwise(F.array(F.struct(lo.alias("a"), hi.alias("z"))))
-    each = free.withColumn("__p", F.explode(parts)).select("__n", *keys, *rest, F.col("__p.a").alias("r_start"), F.col("__p.z").alias("r_end"))
-    hit = I.overlap_join(segments.select(key, *keys, "start_frame", "end_frame"), each.select("__n", *keys, "r_start", "r_end"), keys)
+    each = free.withColumn("__p", F.explode(parts)).select("__l", *keys, F.col("__p.a").alias("r_start"), F.col("__p.z").alias("r_end"))
+    hit = I.overlap_join(segments.select(key, *keys, "start_frame", "end_frame"), each, keys)
     meet = F.least("end_frame", "r_end") - F.greatest("start_frame", "r_start") + 1
     gap = F.abs(F.floor((F.col("start_frame") + F.col("end_frame")) / 2) - F.floor((F.col("r_start") + F.col("r_end")) / 2))
     same = (F.col("start_frame") != F.col("r_start")) | (F.col("end_frame") != F.col("r_end"))
-    best = hit.groupBy("__n", "r_start", "r_end").agg(F.min_by(key, F.struct(same, -meet, gap, "start_frame", key)).alias(key))
-    mapped = each.join(best, ["__n", "r_start", "r_end"]).select(*rest, key)
-    lost = free.join(best.select("__n").distinct(), "__n", "left_anti").select(*rest, F.col("id").alias(key))
-    return exact.unionByName(mapped).unionByName(lost)
+    best = hit.groupBy("__l", "r_start", "r_end").agg(F.min_by(key, F.struct(same, -meet, gap, "start_frame", key)).alias("__k"))
+    lost = free.select("__l").join(best.select("__l").distinct(), "__l", "left_anti").select("__l", F.col("__l")["id"].alias("__k"))
+    # Equal labels have a row each again.
+    own = best.select("__l", "__k").unionByName(lost).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__l")["__c"])))
+    return exact.unionByName(own.select(*(F.col("__l")[c].alias(c) for c in rest), F.col("__k").alias(key)))
 
 
 def binary_target(df: DataFrame, keys: list[str], target: str) -> DataFrame:

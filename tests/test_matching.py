@@ -2,7 +2,7 @@
 
 import random
 
-from ethospark.operators import dense as D, intervals as I
+from ethospark.operators import dense as D, intervals as I, labels as L
 
 
 def iou(a, b):
@@ -119,3 +119,17 @@ def test_inhibition_matrix_and_overwriting(spark):
     seg = spark.createDataFrame([("s", 0, 0, 4, 0.2), ("s", 0, 3, 6, 0.8), ("s", 0, 9, 10, 0.4)], "s string, island long, start_frame long, end_frame long, p double")
     trace = [r.smooth for r in D.refined_trace(seg, ["s"], "p", 1).orderBy("frame").collect()]
     assert [round(v, 6) for v in trace] == [0.2, 0.2, 0.2, 0.8, 0.8, 0.8, 0.8, round(0.8 - 0.4 / 3, 6), round(0.8 - 0.8 / 3, 6), 0.4, 0.4]
+
+
+def test_remap_does_not_depend_on_the_order_of_rows(spark):
+    segments = spark.createDataFrame([(f"s{k}_{i}", k, i * 4, i * 4 + 15) for k in range(5) for i in range(12)], "segment string, k long, start_frame long, end_frame long")
+    rows = [(f"c{k}_{i}", k, i * 7, i * 7 + 20) for k in range(5) for i in range(9)] + [("c0_0", 0, 0, 20), ("far", 0, 900, 920), ("far", 0, 900, 920), ("s1_2", 1, 8, 23)]
+    # Rows that come in another order each time they are read, as they may from a shuffle.
+    labels = spark.createDataFrame(rows, "id string, k long, start_frame long, end_frame long").coalesce(1).mapInPandas(lambda bs: (b.sample(frac=1) for b in bs), "id string, k long, start_frame long, end_frame long")
+    want = []
+    for name, k, a, z in rows:
+        meet = [((s != a, e != a + 15), max(s, a) - min(e, a + 15) - 1, abs((s + e) // 2 - (2 * a + 15) // 2), s, i) for i in range(12) for s, e in [(i * 4, i * 4 + 15)] if s <= a + 15 and e >= a]
+        meet = [((any(m[0]), *m[1:4]), f"s{k}_{m[4]}") for m in meet]
+        want.append((name, name if name in ("far", "s1_2") else min(meet)[1]))
+    got = L.remap(labels, segments, ["k"], "segment").collect()
+    assert sorted((r.id, r.segment) for r in got) == sorted(want)
