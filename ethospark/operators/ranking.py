@@ -82,21 +82,89 @@ def _nearest(reference: np.ndarray, k: int):
     return F.pandas_udf(run, "double")
 
 
+def _tree(points: np.ndarray, leaf: int = 64) -> tuple[np.ndarray, list[tuple]]:
+    """(points in order of a tree, its nodes): a node has its first and last place, its box and its two children, -1 for a leaf."""
+    order, nodes = np.arange(len(points)), []
+    todo = [(0, len(points), -1, 0)]
+    while todo:
+        lo, hi, up, side = todo.pop()
+        own = points[order[lo:hi]]
+        low, high = own.min(0), own.max(0)
+        if up >= 0:
+            nodes[up][4 + side] = len(nodes)
+        nodes.append([lo, hi, low, high, -1, -1])
+        if hi - lo > leaf and (high > low).any():
+            with np.errstate(invalid="ignore"):
+                by = own[:, int(np.nanargmax(high - low))]
+            mid = (hi - lo) // 2
+            order[lo:hi] = order[lo:hi][np.argpartition(by, mid)]
+            todo += [(lo, lo + mid, len(nodes) - 1, 0), (lo + mid, hi, len(nodes) - 1, 1)]
+    return points[order], [tuple(n) for n in nodes]
+
+
+def _nearest_one(reference: np.ndarray):
+    """A pandas UDF: distance of a point to the nearest of reference, by a tree of boxes: a box no nearer than what is found is left out."""
+    ordered, nodes = _tree(np.unique(reference, axis=0))
+
+    def squared(gaps: Iterator[np.ndarray]) -> np.ndarray:
+        return sum(g * g for g in gaps)
+
+    def search(x: np.ndarray) -> np.ndarray:
+        best = np.full(len(x), np.inf)
+
+        def box(node: int, rows: np.ndarray) -> np.ndarray:
+            _, _, low, high, _, _ = nodes[node]
+            # Differences as of points, so no box is further than a point in it.
+            return squared(np.maximum(np.maximum(low[c] - x[rows, c], x[rows, c] - high[c]), 0.0) for c in range(x.shape[1]))
+
+        todo = [(0, np.flatnonzero(~np.isnan(x).any(1)), None)]
+        while todo:
+            node, rows, far = todo.pop()
+            if far is not None:
+                rows = rows[far < best[rows]]
+            if not len(rows):
+                continue
+            lo, hi, _, _, left, right = nodes[node]
+            if left < 0:
+                # 2 million distances at once; a leaf of more points holds one value only.
+                at = ordered[lo : min(hi, lo + 64)]
+                for i in range(0, len(rows), 2_000_000 // len(at)):
+                    some = rows[i : i + 2_000_000 // len(at)]
+                    d = squared(x[some, None, c] - at[None, :, c] for c in range(x.shape[1]))
+                    best[some] = np.fmin(best[some], np.fmin.reduce(d, axis=1))
+                continue
+            a, b = box(left, rows), box(right, rows)
+            first = a <= b
+            # The last put is the first taken: each row's nearer child comes before the other.
+            todo += [(left, rows[~first], a[~first]), (right, rows[first], b[first]), (right, rows[~first], b[~first]), (left, rows[first], a[first])]
+        return np.where(np.isnan(x).any(1), np.nan, np.sqrt(best))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for points in batches:
+            yield pd.Series(search(np.array(points.tolist(), float)) if len(points) else np.empty(0))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
+
+
 def min_distance(df: DataFrame, key: str, cols: list[str], reference: DataFrame) -> DataFrame:
     """(key, distance): Euclidean distance to the nearest point of reference, the reviewed rows; null where there are none.
 
-    The reference goes to the tasks in parts of at most about REFERENCE numbers, each one pass over df.
+    The reference, equal points once, goes to the tasks in parts of at most about REFERENCE numbers, each one pass over df by a tree of its points.
     """
-    parts = max(1, -(-reference.count() * len(cols) // REFERENCE))
     point = F.array(*(F.col(c).cast("double") for c in cols))
-    rows = reference.select(point.alias("v")).withColumn("b", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    # A point with a missing number is near nothing.
+    rows = reference.select(point.alias("v")).where(~F.exists("v", lambda c: c.isNull() | F.isnan(c))).distinct().persist()
+    parts = max(1, -(-rows.count() * len(cols) // REFERENCE))
+    numbered = rows.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(parts)))
     out = df.select(key, point.alias("p"))
     found = []
     for b in range(parts):
-        some = np.array([r["v"] for r in rows.where(F.col("b") == b).collect()], float)
+        some = np.array([r["v"] for r in numbered.where(F.col("b") == b).collect()], float)
         if len(some):
             found.append(f"d{b}")
-            out = out.withColumn(f"d{b}", _nearest(some, 1)("p"))
+            out = out.withColumn(f"d{b}", _nearest_one(some)("p"))
+    rows.unpersist()
     near = F.least(*found) if len(found) > 1 else F.col(found[0]) if found else F.lit(None).cast("double")
     return out.select(key, near.alias("distance"))
 

@@ -1,8 +1,13 @@
 """Greedy matching, suppression, event folding, settings and matrices against loops."""
 
+import math
 import random
+import time
 
-from ethospark.operators import dense as D, intervals as I, labels as L
+import numpy as np
+from pyspark.sql import functions as F
+
+from ethospark.operators import dense as D, intervals as I, labels as L, ranking as R
 
 
 def iou(a, b):
@@ -133,3 +138,20 @@ def test_remap_does_not_depend_on_the_order_of_rows(spark):
         want.append((name, name if name in ("far", "s1_2") else min(meet)[1]))
     got = L.remap(labels, segments, ["k"], "segment").collect()
     assert sorted((r.id, r.segment) for r in got) == sorted(want)
+
+
+def test_nearest_points_equal_brute_force_without_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    some = np.vstack([rng.gamma(2, 20, (250, 3)).round(1), [[0.0, 0.0, 0.0]] * 200])
+    x = np.vstack([rng.gamma(2, 20, (300, 3)).round(1), some[:20]])
+    ref = spark.createDataFrame([(*map(float, r),) for r in some] + [(None, 1.0, 1.0), (math.nan, 0.0, 0.0)], "a double, b double, c double")
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(-1, None, 0.0, 0.0)], "id long, a double, b double, c double")
+    got = {r.id: r.distance for r in R.min_distance(df, "id", ["a", "b", "c"], ref).collect()}
+    want = np.sqrt(sum((x[:, None, c] - some[None, :, c]) ** 2 for c in range(3))).min(1)
+    assert [got[i] for i in range(len(x))] == want.tolist() and got[-1] is None
+    assert R.min_distance(df, "id", ["a", "b", "c"], ref.limit(0)).where("distance is not null").count() == 0
+    # 12 thousand million pairs: a comparison of all takes minutes.
+    grid = lambda n, k: spark.range(n).select("id", *(((F.col("id") * k) % m).cast("double").alias(c) for c, m in zip("abc", (9973, 9967, 9949))))
+    t = time.time()
+    assert R.min_distance(grid(60_000, 17), "id", ["a", "b", "c"], grid(200_000, 31)).agg(F.count("distance")).first()[0] == 60_000
+    assert time.time() - t < 40
