@@ -1,18 +1,18 @@
 """License scans by a trained paragraph classifier, in DataFrame and MLlib operations only.
 
-A paragraph is a run of lines without a blank one between; its words are cut into windows of WINDOW words, every STRIDE words, so a notice that
-is wrapped over lines or stands amid prose is seen whole. Windows without one of CUES are no notices: each template holds one. Multinomial
-logistic regression over hashed word 1- and 2-grams tells the families of NAMES and TEXTS and the class `unknown` in the others.
+A paragraph is a run of lines without a blank one between; a window of WINDOW words starts at every word of it, so a notice that
+is wrapped over lines or stands amid prose is seen whole, wherever it begins. Windows without one of CUES are no notices: each template
+holds one. Multinomial logistic regression over hashed word 1- and 2-grams tells the families of NAMES and TEXTS and the class `unknown` in the others.
 
 Training: each template alone, with one word left out, and with prose before and behind it, in windows as they are scanned; for `unknown`
 DECOYS, cue words amid prose, and plain windows. Prose comes from the windows of at most SAMPLE documents, first by a hash of their id, of at
-most SAMPLE_CHARS characters together. The cut is taken over the whole table: of all candidate windows that resemble no template and whose
-document was not sampled, at most FALSE_RATE have a family probability above it, to 1 / STEPS in log odds; it is at least MIN_PROBABILITY.
+most SAMPLE_CHARS characters together. The cut is taken over the whole table: of all candidate windows that share no word with one that
+resembles a template and whose document was not sampled, at most FALSE_RATE have a family probability above it, to 1 / STEPS in log odds; it is at least MIN_PROBABILITY.
 
 A prediction above the cut is confirmed by comparison: of the 2-grams of the window or of a template of its family, whichever has fewer,
 MIN_OVERLAP must be common, and MIN_PAIRS of them, or all that the template has.
 
-Scoring is one pass over all texts without a shuffle; the windows of a paragraph meet by (document, paragraph, family) in an aggregate, best
+Scoring is one pass over all texts; windows with a cue, and only they, are then sorted by paragraph for the cut; those of a paragraph meet by (document, paragraph, family) in an aggregate, best
 first. Defined cases: null and empty texts have no paragraphs; null doc_id is kept; repeated rows give a row each; a very long text has more
 windows, each as small; of equally good windows the first is reported; an empty table gives no rows; other columns are ignored.
 """
@@ -33,7 +33,8 @@ from .common import first_by, materialize
 FEATURES = 1 << 14
 SAMPLE = 500
 SAMPLE_CHARS = 4_000_000
-WINDOW, STRIDE = 24, 12
+#: Words of a window, which starts at every word, and starts that are cut from a paragraph at once.
+WINDOW, BLOCK = 24, 480
 #: Training rows: so many of each template amid prose, and about so many of each family.
 COPIES, ROWS_A_FAMILY = 4, 300
 FALSE_RATE = 0.01
@@ -104,11 +105,16 @@ def windows(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "text"]
     cut = rows.where(F.col("text").rlike(CUES)).select(*rest, F.posexplode(F.split("text", r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*")).alias("paragraph", "__p"))
     cut = cut.where(F.col("__p").rlike(CUES)).select(*rest, "paragraph", words(F.col("__p")).alias("__w")).where(F.size("__w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("__w") - WINDOW) / STRIDE).cast("int")) * STRIDE, F.lit(STRIDE))
-    # Windows are cut before rows are: a row for each window must not carry the words of the whole paragraph.
-    each = F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.slice("__w", s + 1, F.lit(WINDOW)).alias("words")))
-    some = F.filter(each, lambda x: F.exists(x["words"], lambda w: w.rlike(CUE_WORDS)))
-    return cut.select(*rest, "paragraph", F.explode(some).alias("__x")).select(*rest, "paragraph", "__x.first_word", "__x.words")
+    # Blocks of BLOCK starts, each with all words of its windows, so that no row holds the windows of a long paragraph.
+    last = F.greatest(F.lit(0), F.size("__w") - WINDOW)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")), lambda b: F.struct((b * BLOCK).alias("at"), F.slice("__w", b * BLOCK + 1, F.lit(BLOCK + WINDOW - 1)).alias("w")))
+    cut = cut.select(*rest, "paragraph", F.explode(blocks).alias("__b")).select(*rest, "paragraph", "__b.at", "__b.w")
+    # Every start whose window holds a cue: those up to WINDOW - 1 words before each cue.
+    top = F.least(F.lit(BLOCK - 1), F.greatest(F.lit(0), F.size("w") - WINDOW))
+    cues = F.filter(F.transform("w", lambda w, i: F.when(w.rlike(CUE_WORDS), i)), lambda i: i.isNotNull() & (i - WINDOW < top))
+    starts = F.array_distinct(F.flatten(F.transform(cues, lambda i: F.sequence(F.greatest(F.lit(0), i - (WINDOW - 1)), F.least(i, top)))))
+    each = F.transform(starts, lambda s: F.struct((F.col("at") + s).alias("first_word"), F.slice("w", s + 1, F.lit(WINDOW)).alias("words")))
+    return cut.select(*rest, "paragraph", F.explode(each).alias("__x")).select(*rest, "paragraph", "__x.first_word", "__x.words")
 
 
 def featurize(df: DataFrame) -> DataFrame:
@@ -227,8 +233,13 @@ def calibrated(docs: DataFrame) -> tuple[DataFrame, float, list[str]]:
     trained = F.coalesce(F.col("doc_id").isin(ids), F.lit(False))
     # A number for each row keeps repeated rows apart.
     rows = docs.where("text is not null").select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    seen = model.transform(featurize(windows(rows))).select("__row", "doc_id", "paragraph", "first_word", "pairs", vector_to_array("probability").alias("p"), (~trained & far()).alias("unknown"))
+    seen = model.transform(featurize(windows(rows))).select("__row", "doc_id", "paragraph", "first_word", "pairs", vector_to_array("probability").alias("p"), far().alias("far"))
     seen = seen.withColumn("probability", F.array_max(F.slice("p", 1, len(names) - 1)))
+    # What is not scored on goes without its words.
+    seen = seen.withColumns({c: F.when(F.col("probability") > MIN_PROBABILITY, F.col(c)) for c in ("pairs", "p")})
+    # A window that has the beginning or the end of a notice is not unknown: another that shares words with it has the notice.
+    beside = Window.partitionBy("__row", "paragraph").orderBy("first_word").rangeBetween(1 - WINDOW, WINDOW - 1)
+    seen = seen.withColumn("unknown", F.min("far").over(beside) & ~trained).drop("far")
     all_of = Observation()
     seen = seen.observe(all_of, F.count_if("unknown").alias("n"))
     seen = materialize(seen.where(F.col("probability") > MIN_PROBABILITY), "license-scores")
@@ -250,9 +261,16 @@ def scan(docs: DataFrame) -> DataFrame:
     known = F.slice("p", 1, len(names) - 1)
     seen = seen.where(F.col("probability") > cut)
     seen = seen.withColumn("family", F.element_at(_strings(names), F.array_position(known, F.col("probability")).cast("int")))
-    alike = F.lit(0.0)
-    for name in families():
+    alike, shared = F.lit(0.0), F.array().cast("array<string>")
+    for name, own in families().items():
         alike = F.when(F.col("family") == name, overlap(F.col("pairs"), _templates(name))).otherwise(alike)
+        shared = F.when(F.col("family") == name, F.array_intersect("pairs", _strings(sorted({g for t in own for g in t})))).otherwise(shared)
     found = seen.withColumn("similarity", alike).where(F.col("similarity") >= MIN_OVERLAP)
-    best = found.groupBy("__row", "doc_id", "paragraph", "family").agg(F.max(F.struct("similarity", "probability", (-F.col("first_word")).alias("w"))).alias("x"))
+    # 2-grams are those of templates, so a set of them is bounded however long the paragraph.
+    found = found.withColumn("x", F.struct("similarity", "probability", (-F.col("first_word")).alias("w"))).select("__row", "doc_id", "paragraph", "family", "x", F.explode(shared).alias("g"))
+    best = found.groupBy("__row", "doc_id", "paragraph", "family").agg(F.max("x").alias("x"), F.max("x.probability").alias("top"), F.collect_set("g").alias("g"))
+    # A part of a notice may be a part of another family's: a family all of whose 2-grams another one found here has too, and more of them, is that one's part.
+    all_of = best.withColumn("others", F.collect_list(F.struct("family", "top", "g")).over(Window.partitionBy("__row", "paragraph")))
+    more = lambda o: (F.size(o["g"]) > F.size("g")) | (F.struct(o["top"], o["family"]) > F.struct("top", "family"))
+    best = all_of.where(~F.exists("others", lambda o: (F.size(F.array_except("g", o["g"])) == 0) & more(o)))
     return best.select("doc_id", "paragraph", "family", F.col("x.probability").alias("probability"), F.col("x.similarity").alias("similarity"), (-F.col("x.w")).alias("first_word"))

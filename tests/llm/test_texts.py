@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import struct
 import zlib
 
@@ -178,6 +179,26 @@ def test_notices_that_are_common_are_not_taken_for_prose(spark):
     assert got == {i for i, _ in rows if i % 4 == 0}
 
 
+def test_notices_are_found_wherever_they_begin(spark):
+    """A notice at each of 40 places of a paragraph; its windows are those of a loop over all starts, across blocks too."""
+    rng = random.Random(11)
+    # 13 of the template's 19 2-grams: enough in a window that has it whole, not in one that lacks an end of it.
+    notice = "Permission is hereby granted, at no cost, to a person obtaining a copy of this software and associated documentation files"
+    rows = [(i, "\n".join(prose(12, rng) for _ in range(6))) for i in range(100)] + [(1000 + i, prose(i + 1, rng) + " " + notice + " " + prose(40, rng)) for i in range(40)]
+    rows += [(2000, " ".join(prose(30, rng) + " license" for _ in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_word): r.words for r in licenses.windows(df).collect()}
+    want = {}
+    for i, t in rows:
+        w = licenses.words_of(t)
+        parts = {(i, s): w[s : s + licenses.WINDOW] for s in range(max(0, len(w) - licenses.WINDOW) + 1)}
+        want |= {k: v for k, v in parts.items() if any(re.match(licenses.CUE_WORDS, x) for x in v)}
+    assert got == want and max(s for i, s in want if i == 2000) > 2 * licenses.BLOCK
+    alike = licenses.featurize(licenses.windows(df)).where(licenses.overlap(F.col("pairs"), licenses._templates("mit")) >= licenses.MIN_OVERLAP)
+    assert {r.doc_id for r in alike.select("doc_id").distinct().collect()} == set(range(1000, 1040))
+    assert {r.doc_id for r in licenses.scan(df).where("family = 'mit'").collect()} >= set(range(1000, 1040))
+
+
 def test_license_cut_is_taken_over_all_candidates(spark, monkeypatch):
     """Odd lines that no sampled document has raise the cut when they are more than FALSE_RATE of the candidates."""
     monkeypatch.setattr(licenses, "SAMPLE", 20)
