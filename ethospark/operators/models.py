@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -217,6 +218,12 @@ def train(df: DataFrame, cols: list[str], y: str, family: str = "logistic", seed
 
 def predict(model, df: DataFrame, cols: list[str]) -> DataFrame:
     """df with p, the positive class's probability, and prediction_prob, the largest of the classes'."""
+    if isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        # As an expression of the columns: no model and no vector goes with the plan.
+        x = (F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in cols)
+        margin = reduce(lambda s, t: s + t, (F.lit(float(w)) * v for w, v in zip(model.coefficients, x)), F.lit(0.0)) + F.lit(float(model.intercept))
+        out = df.withColumn("p", 1 / (1 + F.exp(-margin)))
+        return out.withColumn("prediction_prob", F.greatest("p", 1 - F.col("p"))).select(*df.columns, "p", "prediction_prob")
     out = model.transform(features(df, cols)).withColumn("__p", vector_to_array("probability"))
     return out.withColumns({"p": F.col("__p")[1], "prediction_prob": F.array_max("__p")}).select(*df.columns, "p", "prediction_prob")
 

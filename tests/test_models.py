@@ -91,6 +91,17 @@ def test_classifier_sweeps(spark):
     assert abs(r.prediction_prob - max(r.p, 1 - r.p)) < 1e-12
 
 
+def test_logistic_scores_carry_no_model(spark):
+    """The plan of a score is of plain expressions, so there is no model to serialize, and gives what the model does."""
+    df = points(spark).unionByName(points(spark).limit(1).withColumn("u", F.lit(None).cast("double")))
+    model = M.train(df, ["u", "v"], "y")
+    out = M.predict(model, df, ["u", "v"])
+    assert "UDF" not in out._jdf.queryExecution().analyzed().toString()
+    want = model.transform(M.features(df, ["u", "v"])).select("id", "u", M.vector_to_array("probability")[1].alias("q"))
+    both = out.select("id", "u", "p").join(want, (out.id == want.id) & out.u.eqNullSafe(want.u)).select("p", "q").collect()
+    assert len(both) == 241 and all(abs(r.p - r.q) < 1e-12 for r in both)
+
+
 def test_tails():
     for n, t in T.T_975.items():
         assert abs(T.t_tail(t, n) - 0.05) < 2e-4
