@@ -15,6 +15,8 @@ MARGIN, HARD_BONUS, LOW, ABSENT, MIN_REJECTED = 0.05, 0.3, 0.25, 0.35, 8
 MODES = ("uncertainty", "prototype", "novelty", "low_probability", "random_absent")
 #: Numbers of a reference set that go to the tasks at once: 32 MB.
 REFERENCE = 4_000_000
+#: Rows that a task searches such a set for at once, more by a batch at most.
+SEARCHED = 200_000
 
 
 def clip(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
@@ -26,9 +28,9 @@ def draw_of(key: Column, seed: str = "0") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string"))), 1, 12), 16, 10).cast("double") / 2.0**48
 
 
-def compete(own: DataFrame, peers: DataFrame, key: str, prob: str, n_peers: Column) -> DataFrame:
+def compete(own: DataFrame, peers: DataFrame, key: str | list[str], prob: str, n_peers: Column) -> DataFrame:
     """own with the max, mean and support (0.5 or more) of its peers' probabilities (key, prob), absent ones 0; margin and its uncertainty."""
-    p = peers.groupBy(key).agg(F.max(prob).alias("other_max"), F.sum(prob).alias("__s"), F.count_if(F.col(prob) >= 0.5).alias("other_support"))
+    p = peers.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max(prob).alias("other_max"), F.sum(prob).alias("__s"), F.count_if(F.col(prob) >= 0.5).alias("other_support"))
     out = own.join(p, key, "left").withColumns({"other_max": F.coalesce("other_max", F.lit(0.0)), "other_mean": F.coalesce(F.col("__s") / n_peers, F.lit(0.0)), "other_support": F.coalesce("other_support", F.lit(0))}).drop("__s")
     margin = F.col("prediction_prob") - F.col("other_max")
     return out.withColumns({"exclusivity_margin": margin, "exclusivity_uncertainty": 1 - clip(F.abs(margin))})
@@ -103,48 +105,76 @@ def _tree(points: np.ndarray, leaf: int = 64) -> tuple[np.ndarray, list[tuple]]:
 
 
 def _nearest_one(reference: np.ndarray):
-    """A pandas UDF: distance of a point to the nearest of reference, by a tree of boxes: a box no nearer than what is found is left out."""
+    """A pandas UDF of a point's columns: distance to the nearest of reference, by a tree of boxes: a box no nearer than what is found is left out.
+
+    Rows of many batches go through the tree at once, and a search comes to a node at most twice: first with the rows that are nearest to its box,
+    for a distance to start from, then with those that may have a nearer point in it.
+    """
     ordered, nodes = _tree(np.unique(reference, axis=0))
 
     def squared(gaps: Iterator[np.ndarray]) -> np.ndarray:
         return sum(g * g for g in gaps)
 
     def search(x: np.ndarray) -> np.ndarray:
-        best = np.full(len(x), np.inf)
+        best, own = np.full(x.shape[1], np.inf), np.full(x.shape[1], -1)
 
         def box(node: int, rows: np.ndarray) -> np.ndarray:
-            _, _, low, high, _, _ = nodes[node]
             # Differences as of points, so no box is further than a point in it.
-            return squared(np.maximum(np.maximum(low[c] - x[rows, c], x[rows, c] - high[c]), 0.0) for c in range(x.shape[1]))
-
-        todo = [(0, np.flatnonzero(~np.isnan(x).any(1)), None)]
+            low, high = nodes[node][2:4]
+            return squared(np.maximum(np.maximum(low[c] - v, v - high[c]), 0.0) for c, v in enumerate(x[:, rows]))
+
+        def measure(node: int, rows: np.ndarray) -> None:
+            # 2 million distances at once; a leaf of more points holds one value only.
+            lo, hi = nodes[node][:2]
+            at = ordered[lo : min(hi, lo + 64)].T
+            for i in range(0, len(rows), 2_000_000 // at.shape[1]):
+                some = rows[i : i + 2_000_000 // at.shape[1]]
+                best[some] = np.fmin(best[some], np.fmin.reduce(squared(v[:, None] - a for v, a in zip(x[:, some], at)), axis=1))
+
+        known = np.flatnonzero(~np.isnan(x).any(0))
+        todo = [(0, known)]
         while todo:
-            node, rows, far = todo.pop()
-            if far is not None:
-                rows = rows[far < best[rows]]
-            if not len(rows):
+            node, rows = todo.pop()
+            left, right = nodes[node][4:]
+            if left < 0:
+                own[rows] = node
+                measure(node, rows)
                 continue
-            lo, hi, _, _, left, right = nodes[node]
+            first = box(left, rows) <= box(right, rows)
+            todo += [(n, r) for n, r in ((left, rows[first]), (right, rows[~first])) if len(r)]
+        todo = [(0, known)]
+        while todo:
+            node, rows = todo.pop()
+            left, right = nodes[node][4:]
+            rows = rows[box(node, rows) < best[rows]]
             if left < 0:
-                # 2 million distances at once; a leaf of more points holds one value only.
-                at = ordered[lo : min(hi, lo + 64)]
-                for i in range(0, len(rows), 2_000_000 // len(at)):
-                    some = rows[i : i + 2_000_000 // len(at)]
-                    d = squared(x[some, None, c] - at[None, :, c] for c in range(x.shape[1]))
-                    best[some] = np.fmin(best[some], np.fmin.reduce(d, axis=1))
+                rows = rows[own[rows] != node]
+            if not len(rows):
                 continue
-            a, b = box(left, rows), box(right, rows)
-            first = a <= b
-            # The last put is the first taken: each row's nearer child comes before the other.
-            todo += [(left, rows[~first], a[~first]), (right, rows[first], b[first]), (right, rows[~first], b[~first]), (left, rows[first], a[first])]
-        return np.where(np.isnan(x).any(1), np.nan, np.sqrt(best))
+            if left < 0:
+                measure(node, rows)
+            else:
+                todo += [(left, rows), (right, rows)]
+        return np.where(np.isnan(x).any(0), np.nan, np.sqrt(best))
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        held, n = [], 0
+        for columns in batches:
+            held.append(np.array([c.to_numpy(float) for c in columns]))
+            n += held[-1].shape[1]
+            if n >= SEARCHED:
+                yield pd.Series(search(np.hstack(held)))
+                held, n = [], 0
+        if held:
+            yield pd.Series(search(np.hstack(held)))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for points in batches:
-            yield pd.Series(search(np.array(points.tolist(), float)) if len(points) else np.empty(0))
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")
+def once(df: DataFrame) -> DataFrame:
+    """df worked out now, for plans that read it more than once: its rows stay with the executors, on disk where memory is short, until the frame is let go."""
+    return df.localCheckpoint()
 
 
 def min_distance(df: DataFrame, key: str, cols: list[str], reference: DataFrame) -> DataFrame:
@@ -152,18 +182,19 @@ def min_distance(df: DataFrame, key: str, cols: list[str], reference: DataFrame)
 
     The reference, equal points once, goes to the tasks in parts of at most about REFERENCE numbers, each one pass over df by a tree of its points.
     """
-    point = F.array(*(F.col(c).cast("double") for c in cols))
+    own = [f"__p{i}" for i in range(len(cols))]
+    point = [F.col(c).cast("double").alias(o) for c, o in zip(cols, own)]
     # A point with a missing number is near nothing.
-    rows = reference.select(point.alias("v")).where(~F.exists("v", lambda c: c.isNull() | F.isnan(c))).distinct().persist()
+    rows = reference.select(*point).where(reduce(lambda a, b: a & b, (F.col(o).isNotNull() & ~F.isnan(o) for o in own))).distinct().persist()
     parts = max(1, -(-rows.count() * len(cols) // REFERENCE))
-    numbered = rows.withColumn("b", F.pmod(F.xxhash64("v"), F.lit(parts)))
-    out = df.select(key, point.alias("p"))
+    numbered = rows.withColumn("b", F.pmod(F.xxhash64(*own), F.lit(parts)))
+    out = df.select(key, *point)
     found = []
     for b in range(parts):
-        some = np.array([r["v"] for r in numbered.where(F.col("b") == b).collect()], float)
+        some = numbered.where(F.col("b") == b).drop("b").toArrow()
         if len(some):
             found.append(f"d{b}")
-            out = out.withColumn(f"d{b}", _nearest_one(some)("p"))
+            out = out.withColumn(f"d{b}", _nearest_one(np.column_stack([c.to_numpy() for c in some.columns]))(*own))
     rows.unpersist()
     near = F.least(*found) if len(found) > 1 else F.col(found[0]) if found else F.lit(None).cast("double")
     return out.select(key, near.alias("distance"))

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ethospark.operators import dense as D, intervals as I, labels as L, ranking as R
@@ -155,3 +156,45 @@ def test_nearest_points_equal_brute_force_without_all_pairs(spark):
     t = time.time()
     assert R.min_distance(grid(60_000, 17), "id", ["a", "b", "c"], grid(200_000, 31)).agg(F.count("distance")).first()[0] == 60_000
     assert time.time() - t < 40
+
+
+def test_nearest_points_are_searched_for_many_batches_at_once(monkeypatch):
+    monkeypatch.setattr(R, "SEARCHED", 2500)
+    rng = np.random.default_rng(3)
+    some, x = rng.random((3000, 3)), rng.random((6001, 3)) * 1.5 - 0.2
+    x[17, 1] = np.nan
+    batches = [tuple(map(pd.Series, x[i : i + 1000].T)) for i in range(0, len(x), 1000)]
+    got = list(R._nearest_one(some).func(iter(batches)))
+    want = np.sqrt(sum((x[:, None, c] - some[None, :, c]) ** 2 for c in range(3))).min(1)
+    assert [len(g) for g in got] == [3000, 3000, 1] and np.array_equal(np.concatenate(got), want, equal_nan=True)
+
+
+def test_ranked_segments_are_worked_out_once(spark, tmp_path):
+    from ethospark.plans import ranking as P
+
+    rng = random.Random(11)
+    rows = [(i, i % 7, rng.choice(["view", "click", "purchase", "signup"]), round(rng.expovariate(1 / 50), 2), i // 3) for i in range(700)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, s long").selectExpr("event_id", "timestamp_seconds(s) as ts", "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    out = P.ranked_segments(spark, str(tmp_path))
+    # What is left reads the segments and their distances, and no longer the table.
+    assert not out.inputFiles()
+    frames = {u: [r for r in rows if r[1] == u] for u in range(7)}
+    point = {}
+    for u, f in frames.items():
+        for w in range((len(f) - 16) // 4 + 1):
+            v = [r[3] for r in f[w * 4 : w * 4 + 16]]
+            types = [r[2] for r in f[w * 4 : w * 4 + 16]]
+            point[f"seg_{u}_{w * 4}_{w * 4 + 15}"] = (w, sum(min(x / 100, 1) for x in v) / 16, float(np.mean(v)), float(np.std(v)), max(v), max(types.count(k) for k in ("view", "click", "signup")) / 16)
+    near = {i: min(math.dist(p[2:5], q[2:5]) for q in point.values() if q[0] % 5 == 0) for i, p in point.items()}
+    lo, hi = min(near.values()), max(near.values())
+    got = {r.id: r for r in out.collect()}
+    assert got.keys() == point.keys()
+    for i, (w, p, *_, other) in point.items():
+        u = int(i.split("_")[1])
+        signs = [(1, -1, 0, 0)[u % 4]] + [1] * (u % 3 == 0) if w % 5 == 0 else [0]
+        fb, eu = sum(signs) / len(signs), 1 - abs(p - other)
+        rejected = sum(v % 4 == 1 and q[0] % 5 == 0 for v, q in ((int(k.split("_")[1]), q) for k, q in point.items()))
+        hard = (p if u % 4 == 1 and w % 5 == 0 else max(0, -fb)) if rejected >= 8 else 0
+        bau = max(1 - abs(2 * p - 1), min(1, eu + 0.05))
+        want = (0.35 * p + 0.2 * bau + 0.15 * eu + 0.1 * (near[i] - lo) / (hi - lo + 1e-9) + 0.1 * eu + 0.07 * hard) / 0.97
+        assert abs(got[i].priority - want) < 1e-9 and abs(got[i].rank_prototype - (p + 0.1 * fb + 0.2 * eu + (0.3 if p > 0.6 and fb < 0 else 0))) < 1e-9
