@@ -14,6 +14,20 @@ def test_merge_intervals(spark):
     assert sorted(map(tuple, I.merge_intervals(df, ["s"], 3, 10).collect())) == [("a", 10, 35), ("b", 0, 12)]
 
 
+def test_merge_intervals_that_tie_equals_loop(spark):
+    rng = random.Random(8)
+    rows = [(u, *sorted((a, a + rng.randrange(-4, 5)))) for u in range(200) for a in rng.sample(range(100), 20)]
+    rows += rng.choices(rows, k=400)
+    want = []
+    for u, s, e in sorted(rows):
+        if want and want[-1][0] == u and s <= want[-1][2] + 1:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([u, s, e])
+    df = spark.createDataFrame(rows, "u int, start_frame int, end_frame int").repartition(7)
+    assert sorted(map(list, I.merge_intervals(df, ["u"], 1, 1).collect())) == want
+
+
 def loop_bouts(p, threshold, gap, least):
     on = [x >= threshold for x in p]
     runs, k = [], 0
