@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -173,8 +175,17 @@ def _nearest_one(reference: np.ndarray):
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df worked out now, for plans that read it more than once: its rows stay with the executors, on disk where memory is short, until the frame is let go."""
-    return df.localCheckpoint()
+    """df worked out now, for plans that read it more than once: a Parquet table in the folder that spark.checkpoint.dir names.
+
+    Where none is named, a session of one machine keeps the rows itself, and any other works them out again at each reading.
+    """
+    conf = df.sparkSession.conf
+    path = conf.get("spark.checkpoint.dir", None)
+    if not path:
+        return df.localCheckpoint() if re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")) else df
+    path = f"{path.rstrip('/')}/tables/once-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def min_distance(df: DataFrame, key: str, cols: list[str], reference: DataFrame) -> DataFrame:
